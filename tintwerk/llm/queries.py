@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintwerk.llm import chat_format, fingerprints, licenses, near_dedup, quality, sharding, warc
+from tintwerk.llm import chat_format, decontamination, fingerprints, licenses, mixing, near_dedup, quality, sharding, warc
 from tintwerk.llm._work import table, written
 
 
@@ -19,6 +19,10 @@ def op3_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85)
 
@@ -28,6 +32,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+MIXTURE = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+def mixing_domains(docs: DataFrame, labels: DataFrame) -> mixing.Domains:
+    """Learnt from the labelled documents; a document's language is its domain."""
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    return mixing.train(labelled.select("doc_id", "text", F.col("lang").alias("domain")))
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    domains = mixing_domains(docs, table(spark, sf_dir, "labels"))
+    rates, _ = mixing.mix(docs, domains, MIXTURE)
+    likeliest = F.element_at(F.array(*[F.lit(n) for n in domains.names]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
+    return rates.select("doc_id", "n_tokens", likeliest.alias("domain"), F.array_max("posterior").alias("membership"), "rate")
+
+
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     features = written(quality.features(docs), "features")
@@ -49,8 +70,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_bloom_fingerprints": op3_bloom_fingerprints,
+    "op4_edit_matching": op4_edit_matching,
     "op5_minhash_forest": op5_minhash_forest,
     "op6_sharding": op6_sharding,
+    "op7_soft_mixing": op7_soft_mixing,
     "op8_additive_quality": op8_additive_quality,
     "op9_chat_format": op9_chat_format,
     "op10_licenses": op10_licenses,
