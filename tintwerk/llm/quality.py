@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintwerk.llm import _bytes as by
+from tintwerk.llm._work import written
 
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 6
@@ -196,12 +197,13 @@ def fitted(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
-def train(measured_docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` rows of ``labels`` (doc_id and a 0/1 column), those whose doc_id has the least hash."""
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y"))
-    chosen = chosen.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(sample).drop("h")
-    found = measured_docs.join(F.broadcast(chosen.distinct()), "doc_id")  # at most ``sample`` ids of 16 bytes each
-    rows = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
+    chosen = chosen.distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "y").limit(sample).drop("h")
+    chosen = F.broadcast(written(chosen, "labels"))  # at most ``sample`` rows of 16 bytes
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = features(own).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toArrow()
     if not rows.num_rows:
         return Model(0.0)
     rows = rows.sort_by([("doc_id", "ascending"), ("y", "ascending")])
@@ -209,27 +211,29 @@ def train(measured_docs: DataFrame, labels: DataFrame, label: str = "quality", s
     return fitted(x, np.array(rows["y"]))
 
 
-def score(measured_docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of each row of ``features``."""
+def _scores(model: Model, column: pa.Array) -> np.ndarray:
+    data, offsets = by.texts(column)
+    parts = [model.scores(measured(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(np.float32).astype(float)) for i, j in by.slices(offsets)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, score`` of each row: features and score in one pass over the scan, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).flatten()).reshape(b.num_rows, len(FEATURES)).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(x))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(model, b.column(1)))], ["doc_id", "score"])
 
-    return measured_docs.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that the model scores at ``threshold`` or above: features and score in one pass, no shuffle."""
+    """The rows of ``docs`` that the model scores at ``threshold`` or above."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = by.texts(b.column(names.index("text")))
-            keep = np.zeros(b.num_rows, bool)
-            for i, j in by.slices(offsets):
-                keep[i:j] = model.scores(measured(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(np.float32).astype(float)) >= threshold
+            keep = _scores(model, b.column(names.index("text"))) >= threshold
             if keep.any():
                 yield b.filter(pa.array(keep))
 

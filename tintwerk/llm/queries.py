@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintwerk.llm import chat_format, decontamination, fingerprints, licenses, mixing, near_dedup, quality, sharding, warc
-from tintwerk.llm._work import table, written
+from tintwerk.llm._work import table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,9 +51,8 @@ def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    features = written(quality.features(docs), "features")
-    model = quality.train(features, labels.where(~quality.held_out(F.col("doc_id"))))
-    return quality.score(features, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,8 @@ def splitters(rows: DataFrame, n_ranges: int, total: int, largest: int) -> list:
 
 def shard_documents(docs: DataFrame, n_shards: int = 24, carry: list[str] = (), ranges_per_shard: int = 16) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of each row, and the columns in ``carry``."""
+    if clash := {"doc_id", "size", "text_crc32", "shard", "slot"} & set(carry):
+        raise ValueError(f"carried columns can't be named {sorted(clash)}")
     rows = written(sized(docs, carry), "sized")
     whole = rows.agg(F.sum("size").alias("b"), F.max("size").alias("m")).first()
     total = int(whole.b or 0)
