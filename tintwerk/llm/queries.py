@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintwerk.llm import chat_format, decontamination, fingerprints, licenses, mixing, near_dedup, quality, sharding, warc
+from tintwerk.llm import chat_format, decontamination, fingerprints, licenses, mixing, near_dedup, quality, repeats, sharding, warc
 from tintwerk.llm._work import table
 
 
@@ -15,6 +15,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op2_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 400).drop("spans")
+
+
 def op3_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_run_index": op2_run_index,
     "op3_bloom_fingerprints": op3_bloom_fingerprints,
     "op4_edit_matching": op4_edit_matching,
     "op5_minhash_forest": op5_minhash_forest,
