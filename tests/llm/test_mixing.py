@@ -19,7 +19,7 @@ def corpus(seed=4, n=240):
 
 def test_rates_meet_the_targets_and_are_nearest_to_one(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, domain string")
-    domains = mixing.train(docs)
+    domains = mixing.train(docs, docs)
     assert domains.names == ["de", "en", "fr"]
     out, report = mixing.mix(docs, domains, {"de": 0.4, "en": 0.4, "fr": 0.2})
     rows = out.collect()
@@ -37,7 +37,7 @@ def test_rates_meet_the_targets_and_are_nearest_to_one(spark):
 
 def test_projection_keeps_rates_from_falling_below_zero(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, domain string")
-    out, report = mixing.mix(docs, mixing.train(docs), {"de": 1.0})
+    out, report = mixing.mix(docs, mixing.train(docs, docs), {"de": 1.0})
     rates = [x.rate for x in out.collect()]
     assert min(rates) == 0.0 and max(rates) > 1.5
     assert report["de"][1] > 0.8 * report["de"][0]
@@ -47,11 +47,11 @@ def test_resampling_follows_the_rates_and_edges(spark):
     schema = "doc_id long, text string, domain string, rate string, posterior int"
     rows = [(*x, "r", None) for x in corpus()]
     docs = spark.createDataFrame(rows, schema)
-    domains = mixing.train(docs)
+    domains = mixing.train(docs, docs)
     more = mixing.resampled(docs, domains, {"de": 1, "en": 1, "fr": 1}, float("inf"), floor=1.0)
     assert more.columns == docs.columns and {x.doc_id for x in more.collect()} >= {x[0] for x in rows}
     none = spark.createDataFrame([], schema)
-    assert mixing.train(none).names == ["all"] and mixing.resampled(none, mixing.train(none), {"de": 1}).count() == 0
+    assert mixing.train(none, none).names == ["all"] and mixing.resampled(none, mixing.train(none, none), {"de": 1}).count() == 0
     assert mixing.mix(none, domains, {"de": 1})[0].count() == 0
     odd = spark.createDataFrame([(None, None, None, None, 1), (None, "der die", "de", None, 1), (3, "", None, None, None)], schema)
-    assert {x.rate for x in mixing.mix(odd, mixing.train(odd), {"de": 1})[0].collect()} == {1.0}
+    assert {x.rate for x in mixing.mix(odd, mixing.train(odd, odd), {"de": 1})[0].collect()} == {1.0}

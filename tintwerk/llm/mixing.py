@@ -59,11 +59,12 @@ class Domains:
         return n, p / p.sum(1, keepdims=True)
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Domains:
-    """From rows ``doc_id, text, domain``."""
-    rows = labelled.where(F.col("domain").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("domain").cast("string").alias("domain"))
-    chosen = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(sample).select("doc_id")
-    rows = rows.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+def train(docs: DataFrame, labels: DataFrame, domain: str = "domain", sample: int = SAMPLE) -> Domains:
+    """From the rows of ``docs`` (doc_id, text and the column named by ``domain``) that ``labels`` (doc_id) points at."""
+    chosen = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h")).distinct()
+    chosen = F.broadcast(written(chosen.orderBy("h", "doc_id").limit(sample), "labels"))  # at most ``sample`` rows of 16 bytes
+    rows = docs.where(F.col(domain).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(domain).cast("string").alias("domain"))
+    rows = rows.join(chosen, "doc_id", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}

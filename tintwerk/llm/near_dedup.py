@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, least: int = 85, most: int = MOST) -> DataF
     units = areas.where(F.col("members") <= most).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
     crowded = areas.where(F.col("members") > most).select(F.col("node").alias("doc_id"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    found = _linked(text.join(units, "doc_id"), least)
+    # A plan that doesn't change with the size: texts and units are always merged, never one of them broadcast.
+    found = _linked(text.join(units.hint("merge"), "doc_id"), least)
     if not crowded.isEmpty():
         pairs = _linked(_crowded_units(stars.join(crowded, "doc_id", "left_semi"), text, most), least).where("node <> component")
         found = found.unionByName(connected_components(pairs.select(F.col("node").alias("a"), F.col("component").alias("b"))))
@@ -245,7 +246,7 @@ def deduplicated(docs: DataFrame, least: int = 80) -> DataFrame:
     Rows with a null doc_id can't be told apart by it and all stay.
     """
     dropped = written(near_duplicates(docs, least).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         return kept

@@ -41,8 +41,7 @@ MIXTURE = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 
 def mixing_domains(docs: DataFrame, labels: DataFrame) -> mixing.Domains:
     """Learnt from the labelled documents; a document's language is its domain."""
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    return mixing.train(labelled.select("doc_id", "text", F.col("lang").alias("domain")))
+    return mixing.train(docs, labels, "lang")
 
 
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
