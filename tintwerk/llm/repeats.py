@@ -7,6 +7,7 @@ Every byte that a string of ``window`` bytes covers which also starts elsewhere
    surroundings of equal anchors. About one byte in (window - k) / 2 is an anchor.
 2. Anchors of one occurrence in the corpus fall away. Of the others, equal surroundings (up to window - k bytes before the
    anchor, up to ``window`` from its start) are one context with a count; its bytes are fetched once.
+   Contexts that share no near-window string with another one of their anchor can't share a window and fall away.
 3. Index: the contexts of whole anchor groups are laid end to end, an anchor being one symbol. From their suffix order comes a
    run-compressed Burrows-Wheeler transform; only at run starts and run ends are common prefixes measured. Every other
    position's follow by streaming over the text: one less than at the position before. The greater of both sides is the
@@ -26,6 +27,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -224,6 +227,25 @@ def _large(contexts: list[tuple[int, bytes, int]], members: list[int], low: int,
             _large(contexts, part, left, right, window, k, most, out)
 
 
+def _sharing(group: list[tuple[int, int, bytes, int]], window: int, k: int, bands: int = 4) -> list[tuple[int, int, bytes, int]]:
+    """Contexts of one anchor that share most of a window with another one of it; no others can share a window.
+
+    A shared window begins in one of ``bands`` ranges before the anchor; then the bytes from that range's end to the earliest end of such a window are common.
+    """
+    step = -(-(window - k + 1) // bands)
+    seen: dict[tuple[int, bytes], int] = {}
+    keep = set()
+    for n, (_, _, raw, before) in enumerate(group):
+        for band in range(bands):
+            left, right = step * band, max(k, window - step * (band + 1) + 1)
+            if left > before or right > len(raw) - before:
+                continue
+            first = seen.setdefault((band, raw[before - left : before + right]), n)
+            if first != n:
+                keep |= {first, n}
+    return [group[n] for n in sorted(keep)]
+
+
 def index_contexts(contexts: DataFrame, window: int, k: int, block: int = BLOCK_TOKENS) -> DataFrame:
     """``anchor, context, left, right`` of each context (anchor, context, raw, before) with a repeated window."""
 
@@ -239,22 +261,15 @@ def index_contexts(contexts: DataFrame, window: int, k: int, block: int = BLOCK_
             some = np.flatnonzero(right)
             return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()), pa.array(left[some].astype(np.int32)), pa.array(right[some].astype(np.int32))], ["anchor", "context", "left", "right"])
 
-        held, size, group, group_size = [], 0, [], 0
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "raw", "before")), strict=True):
-                if group and row[0] != group[0][0]:
-                    if held and size + group_size > block:
-                        yield closed(held)
-                        held, size = [], 0
-                    held, size = held + group if len(group) > 1 else held, size + (group_size if len(group) > 1 else 0)
-                    group, group_size = [], 0
-                group.append(row)
-                group_size += len(row[2])
-        if held and size + group_size > block:
-            yield closed(held)
-            held = []
-        if len(group) > 1:
-            held = held + group
+        held, size = [], 0
+        every = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "raw", "before")), strict=True))
+        for _, group in groupby(every, key=itemgetter(0)):
+            own = _sharing(list(group), window, k)
+            more = sum(len(r[2]) for r in own)
+            if held and size + more > block:
+                yield closed(held)
+                held, size = [], 0
+            held, size = held + own, size + more
         if held:
             yield closed(held)
 
