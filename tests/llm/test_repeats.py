@@ -1,7 +1,6 @@
 import hashlib
 import random
 
-import numpy as np
 import pytest
 
 from tintwerk.llm import repeats
@@ -26,21 +25,27 @@ def brute_force(rows, window):
 
 
 def test_statistics_equal_brute_force():
-    r = np.random.default_rng(3)
-    for _ in range(60):
-        base = r.integers(0, 3, r.integers(2, 40))
-        tokens = np.concatenate([base, [10], base[: r.integers(1, len(base) + 1)], r.integers(0, 3, 20), [11]])
-        got = repeats.RunIndex(tokens).statistics()
-        n = len(tokens)
-        for i in range(n):
-            best = 0
-            for j in range(n):
-                if i != j:
-                    m = 0
-                    while max(i, j) + m < n and tokens[i + m] == tokens[j + m]:
-                        m += 1
-                    best = max(best, m)
-            assert got[i] == best
+    r = random.Random(3)
+    for _ in range(150):
+        anchor = "".join(r.choice("ab") for _ in range(4))
+        parts = ["".join(r.choice("ab") for _ in range(r.randrange(0, 13))) for _ in range(4)]
+        contexts = {}
+        for _ in range(r.randrange(2, 14)):
+            x, y = r.choice(parts)[-8:], r.choice(parts)[:8]
+            x = x if r.random() < 0.5 else (r.choice("ab") + x)[-8:]
+            contexts[r.randrange(2), x, y] = None
+        rows = sorted((g, (x + anchor + y).encode(), len(x)) for g, x, y in contexts)
+        rows = [c for c in rows if len(c[1]) - c[2] <= 12]
+        left, right = repeats._marked(rows, 12, 4)
+        for i, (g, a, at) in enumerate(rows):
+            want = (0, 0)
+            for j, (h, b, to) in enumerate(rows):
+                if i != j and g == h:
+                    n = next((n for n in range(min(at, to) + 1) if n == min(at, to) or a[at - n - 1] != b[to - n - 1]))
+                    m = next((m for m in range(13) if m == min(len(a) - at, len(b) - to) or a[at + m] != b[to + m]))
+                    if n + m >= 12:
+                        want = max(want[0], n), max(want[1], m)
+            assert (left[i], right[i]) == want
 
 
 def corpus(seed):

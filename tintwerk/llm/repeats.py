@@ -8,11 +8,10 @@ Every byte that a string of ``window`` bytes covers which also starts elsewhere
 2. Anchors of one occurrence in the corpus fall away. Of the others, equal surroundings (up to window - k bytes before the
    anchor, up to ``window`` from its start) are one context with a count; its bytes are fetched once.
    Contexts that share no near-window string with another one of their anchor can't share a window and fall away.
-3. Index: the contexts of whole anchor groups are laid end to end, an anchor being one symbol. From their suffix order comes a
-   run-compressed Burrows-Wheeler transform; only at run starts and run ends are common prefixes measured. Every other
-   position's follow by streaming over the text: one less than at the position before. The greater of both sides is the
-   matching statistic of a position; where it spans ``window`` bytes, the bytes are marked. A context that occurs more than
-   once matches itself in full.
+3. Index: the contexts of an anchor, in the order of what follows it, are extended to the left byte by byte. Each column of
+   bytes is one of the run-compressed Burrows-Wheeler transform; common prefixes are measured at the ends of runs only, and
+   within a run they grow by one from column to column. The greater of both sides is the matching statistic of a position;
+   where it spans ``window`` bytes, the bytes are marked. A context that occurs more than once matches itself in full.
 4. Each occurrence takes its context's marks; a text's marks are merged and its remaining bytes hashed.
 
 A group too large for one index block is split by longer common strings: two contexts that share a window share either the
@@ -39,7 +38,7 @@ from tintwerk.llm import _bytes as by
 from tintwerk.llm._work import written
 
 WINDOW, K = 400, 128
-BLOCK_TOKENS = 2 << 20
+BLOCK = 8 << 20  # bytes of contexts indexed at a time
 U = np.uint64
 _PLACE = 28  # bits of a position within a slice
 
@@ -94,89 +93,73 @@ def find_anchors(texts: DataFrame, window: int, k: int) -> DataFrame:
 
 
 class RunIndex:
-    """Run-length index of a token text; ``statistics()`` gives each position's longest match that starts elsewhere too."""
-
-    def __init__(self, tokens: np.ndarray):
-        n = len(tokens)
-        self.tokens, self.levels, self.lengths = tokens, [], []
-        _, rank = np.unique(tokens, return_inverse=True)
-        rank, length = rank.astype(np.int64), 1
-        while True:
-            self.levels.append(rank)
-            self.lengths.append(length)
-            if length == 1:  # three symbols at once where they fit
-                wide = int(rank.max()) + 2
-                after = np.zeros((2, n), np.int64)
-                after[0, :-1], after[1, :-2] = rank[1:] + 1, rank[2:] + 1
-                key = (rank * wide + after[0]) * wide + after[1] if wide < 1 << 20 else rank * (n + 1) + after[0]
-                length = 3 if wide < 1 << 20 else 2
-            else:
-                key = rank * (n + 1)
-                key[: n - length] += rank[length:] + 1
-                length *= 2
-            order = np.argsort(key)
-            new = np.empty(n, np.int64)
-            sorted_key = key[order]
-            new[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
-            rank = new
-            if rank[order[-1]] == n - 1 or length >= n:
-                break
-        self.suffixes = order
-        transform = tokens[order - 1]
-        runs = np.flatnonzero(transform[1:] != transform[:-1]) + 1
-        self.run_starts = np.concatenate([[0], runs])
-        self.run_ends = np.concatenate([runs - 1, [n - 1]])
-        self.run_symbols = transform[self.run_starts]
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Lengths of the common prefixes of the suffixes at i and j."""
-        n, total = len(self.tokens), np.zeros(len(i), np.int64)
-        i, j = i.copy(), j.copy()
-        for _ in range(2):  # three symbols can follow one of two
-            for rank, length in zip(self.levels[::-1], self.lengths[::-1], strict=True):
-                ok = (i < n) & (j < n)
-                same = ok.copy()
-                same[ok] = rank[i[ok]] == rank[j[ok]]
-                step = same * length
-                i, j, total = i + step, j + step, total + step
-        return total
+    """Run-length index of anchor groups, built column by column.
+
+    The contexts of a group are sorted by what follows from the anchor on. Prepending the byte before each of them gives one
+    column of the Burrows-Wheeler transform: a stable sort by it (the last-to-first mapping) is the order one byte further left.
+    A column is a sequence of runs of equal bytes. Two neighbours within a run stay neighbours and share one byte more than
+    before; only at the ends of runs is a common prefix measured, as the least of those between.
+    """
+
+    def __init__(self, contexts: list[tuple[int, bytes, int]], window: int, k: int):
+        m = len(contexts)
+        self.window, self.reach = window, window - k
+        names = {g: i for i, g in enumerate(dict.fromkeys(c[0] for c in contexts))}
+        self.group = np.array([names[c[0]] for c in contexts], np.int64)
+        self.columns = np.full((self.reach, m), -1, np.int16)
+        behind = np.full((m, window), -1, np.int16)
+        sizes = np.empty(m, np.int64)
+        for i, (_, raw, before) in enumerate(contexts):
+            x = np.frombuffer(raw, np.uint8)
+            self.columns[:before, i] = x[:before][::-1]
+            behind[i, : len(x) - before] = x[before:]
+            sizes[i] = len(x) - before
+        self.order = np.array(sorted(range(m), key=lambda i: (self.group[i], contexts[i][1][contexts[i][2] :])), np.int64)
+        a, b = self.order[:-1], self.order[1:]
+        differs = behind[a] != behind[b]
+        common = np.where(differs.any(1), differs.argmax(1), window)
+        common = np.minimum(common, np.minimum(sizes[a], sizes[b])) * (self.group[a] == self.group[b])
+        self.common = np.concatenate([[0], common])  # with the one before in the order, from the current start on
+        self.runs = 0
 
     def statistics(self) -> np.ndarray:
-        """Sampled at the runs' ends, then one less from position to position."""
-        n, sa = len(self.tokens), self.suffixes
-        best = np.zeros(n, np.int64)
-        for edge, other in ((self.run_starts, -1), (self.run_ends, 1)):
-            inner = edge[(edge + other >= 0) & (edge + other < n)]
-            value = np.zeros(n, np.int64)
-            sampled = np.zeros(n, bool)
-            sampled[sa[edge]] = True
-            value[sa[inner]] = self.common(sa[inner], sa[inner + other])
-            last = np.maximum.accumulate(np.where(sampled, np.arange(n), 0))
-            best = np.maximum(best, value[last] - (np.arange(n) - last))
-        return best
+        """For each context in the current order, the longest match of its current suffix with another one."""
+        return np.maximum(self.common, np.append(self.common[1:], 0))
+
+    def prepend(self, d: int, keep: np.ndarray) -> None:
+        """Goes one byte further left, to the d-th before the anchor; contexts outside ``keep``, or that end there, leave the order."""
+        column = self.columns[d - 1, self.order].astype(np.int64)
+        at = np.flatnonzero(keep & (column >= 0))
+        key = self.group[self.order] * 256 + column
+        at = at[np.argsort(key[at], kind="stable")]
+        p, q = at[:-1], at[1:]
+        same = key[p] == key[q]
+        inside = same & (q == p + 1)
+        self.runs += len(at) - int(inside.sum())
+        new = np.zeros(len(at), np.int64)
+        new[1:][inside] = self.common[q[inside]] + 1
+        ends = same & ~inside
+        if ends.any():
+            between = np.stack([p[ends] + 1, q[ends] + 1], axis=1).ravel()
+            new[1:][ends] = np.minimum.reduceat(np.append(self.common, 0), between)[::2] + 1
+        self.order, self.common = self.order[at], new
 
 
 def _marked(contexts: list[tuple[int, bytes, int]], window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For contexts (group, bytes, bytes before the anchor), how many bytes before and after each anchor's start are repeated in
     another context of its group; both 0 where no window is."""
-    parts, places, at = [], [], 0
-    groups = {g: i for i, g in enumerate(dict.fromkeys(c[0] for c in contexts))}
-    for i, (g, raw, before) in enumerate(contexts):
-        x = np.frombuffer(raw, np.uint8).astype(np.int64)
-        parts += [x[:before], [256 + groups[g]], x[before + k :], [256 + len(groups) + i]]
-        places.append(at + before)
-        at += len(raw) - k + 2
-    places = np.array(places)
-    matched = RunIndex(np.concatenate(parts)).statistics()
-    need = window - k + 1
-    of = np.searchsorted(places, np.arange(at))
-    ok = np.flatnonzero((matched >= need) & (of < len(places)))
-    # Positions behind their context's anchor belong to the next anchor here, but can't reach it over the unique end mark.
-    reach = ok + matched[ok] > places[of[ok]]
-    ok = ok[reach]
+    index = RunIndex(contexts, window, k)
     left, right = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-    np.maximum.at(left, of[ok], places[of[ok]] - ok)
-    np.maximum.at(right, of[ok], ok + matched[ok] - places[of[ok]] + k - 1)
+    for d in range(index.reach + 1):
+        if d:
+            # A suffix that can't reach a window's length any more needs no further column.
+            index.prepend(d, matched + index.reach - d + 1 >= window)
+        if not len(index.order):
+            break
+        matched = index.statistics()
+        ok = matched >= window
+        left[index.order[ok]] = d
+        np.maximum.at(right, index.order[ok], matched[ok] - d)
     return left, right
 
 
@@ -246,7 +229,7 @@ def _sharing(group: list[tuple[int, int, bytes, int]], window: int, k: int, band
     return [group[n] for n in sorted(keep)]
 
 
-def index_contexts(contexts: DataFrame, window: int, k: int, block: int = BLOCK_TOKENS) -> DataFrame:
+def index_contexts(contexts: DataFrame, window: int, k: int, block: int = BLOCK) -> DataFrame:
     """``anchor, context, left, right`` of each context (anchor, context, raw, before) with a repeated window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
