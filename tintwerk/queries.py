@@ -568,6 +568,129 @@ def q_overlap(spark, sf_dir):
     return out.select("doc_id", "g.word", F.coalesce("g.c0", F.lit(0)).alias("c0"), F.coalesce("g.c1", "n").alias("c1"), "label", "text")
 
 
+# ---- more of the text, geometry and finding layers
+
+
+@query(f"""WITH {LETTERS} SELECT DISTINCT person, list_transform(string_split(person, ' '), lambda t: {_norm_sql('t')})[1] AS first, list_transform(string_split(person, ' '), lambda t: {_norm_sql('t')})[2] AS last, 2 AS n, 'Herr ' || person AS titled FROM letters""")
+def q_name_tokens(spark, sf_dir):
+    rows = _letters(spark, sf_dir).select("person", F.concat(F.lit("Herr "), "person").alias("titled")).distinct()
+    rows = rows.withColumn("t", tx.name_tokens(F.concat(F.lit("Frau Dr. "), "person")))
+    return rows.select("person", F.col("t")[0].alias("first"), F.col("t")[1].alias("last"), F.size("t").alias("n"), "titled")
+
+
+@query(f"""WITH {LETTERS} SELECT DISTINCT person, replace(person, ' ', ' von ') AS turned FROM letters""")
+def q_name_words(spark, sf_dir):
+    name = F.split("person", " ")
+    listed = F.concat(F.lit("Frau Dr. "), name[1], F.lit(", "), name[0], F.lit(" von"))
+    return _letters(spark, sf_dir).select("person", F.array_join(F.transform(tx.name_words(listed), lambda w: w["w"]), " ").alias("turned")).distinct()
+
+
+@query("""SELECT c_custkey AS doc_id, 2 + (c_custkey % 3 = 0)::INT AS n_values, 3 + (c_custkey % 3 = 0)::INT AS n_parts FROM customer""")
+def q_split_values(spark, sf_dir):
+    text = F.concat(F.lit(" Weg 1, 12345 Ort ;;"), F.when(F.col("c_custkey") % 3 == 0, "Platz 2;").otherwise(" ; "), F.lit("Allee 3, x"))
+    return views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.size(tx.split_values(text)).alias("n_values"), F.size(tx.address_parts(text)).alias("n_parts"))
+
+
+@query("SELECT c_custkey AS doc_id, c_custkey % 5 IN (0, 1, 3) AS organisation FROM customer")
+def q_organisation(spark, sf_dir):
+    k = F.col("c_custkey") % 5
+    name = F.when(k == 0, "Muster Wohnbau GmbH").when(k == 1, "Amtsgericht Köln").when(k == 2, "Robin Kinzel").when(k == 3, "Stadt Limburg").otherwise("Anna Großmann")
+    return views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), tx.is_organisation(name).alias("organisation"))
+
+
+@query(f"""WITH {LETTERS}, v AS (SELECT doc_id, bban, lpad(((98 - ((bban::BIGINT % 97) * 27 + 131400) % 97 + doc_id % 3) % 100)::VARCHAR, 2, '0') AS c FROM letters)
+    SELECT doc_id, 'DE' || c || bban AS iban, ((bban::HUGEINT % 97) * 27 + 131400 + c::INT) % 97 = 1 AS valid FROM v""")
+def q_iban_valid(spark, sf_dir):
+    check = (98 - ((F.col("bban").cast("long") % 97) * 27 + 131400) % 97 + F.col("doc_id") % 3) % 100
+    rows = _letters(spark, sf_dir).select("doc_id", F.concat(F.lit("DE"), F.lpad(check.cast("string"), 2, "0"), "bban").alias("iban"))
+    return rows.select("doc_id", "iban", patterns.iban_valid(F.col("iban")).alias("valid"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 4 < 2 AS professional FROM orders")
+def q_professional(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    prefix = F.when(k == 0, "Rechtsanwältin ").when(k == 1, "Richter am Amtsgericht ").when(k == 2, "Frau ").otherwise("Zeuge ")
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", names.professional(prefix).alias("professional"))
+
+
+@query(f"""WITH {LETTERS}, {_words_sql('letters')}, b AS (SELECT doc_id, word_no, text, 50 + 6 * (start - min(start) OVER (PARTITION BY doc_id, line_no)) AS x0, 50 + 14 * line_no AS y0 FROM words)
+    SELECT doc_id, string_agg(text, ' ' ORDER BY word_no) AS term FROM b WHERE x0 + 3 * length(text) BETWEEN 60 AND 140 AND y0 + 5 BETWEEN 50 AND 80 GROUP BY doc_id""")
+def q_words_in_rect(spark, sf_dir):
+    from tintwerk.plans.edits import term_in_rect
+
+    return term_in_rect(_letter_words(spark, sf_dir), 60, 50, 140, 80).select("doc_id", "term")
+
+
+@query(f"""WITH {LETTERS} SELECT doc_id, 1 AS word_no, string_split(person, ' ')[1] AS text FROM letters WHERE length(string_split(person, ' ')[1]) * 6 + 81 >= 100""")
+def q_word_at(spark, sf_dir):
+    return words.word_at(_letter_words(spark, sf_dir), 100.0, 55.0).select("doc_id", "word_no", "text")
+
+
+@query(f"""WITH {_words_sql('documents')}, t AS (SELECT DISTINCT text FROM words WHERE regexp_matches(text, '^[a-zA-Z.,]{{3,}}$')),
+    c AS (SELECT text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM t),
+    w AS (SELECT text, i, CASE WHEN strpos(',.;:!|''`´il1Ijtf()[]/\\-', c) > 0 THEN 0.45 WHEN strpos('mwMWÄÖÜ@%&QGOD', c) > 0 THEN 1.35 WHEN regexp_matches(c, '[A-Z]') THEN 1.1 ELSE 1.0 END AS w FROM c),
+    s AS (SELECT text, sum(w)::DOUBLE AS total, sum(w) FILTER (i <= 1)::DOUBLE AS a, sum(w) FILTER (i <= length(text) - 1)::DOUBLE AS b FROM w GROUP BY text)
+    SELECT text, round(greatest(0, 60 * a / total - 0.45 * 60 / total), 6) AS x0, round(least(60, 60 * b / total + 0.45 * 60 / total), 6) AS x1 FROM s""")
+def q_partial_range(spark, sf_dir):
+    each = views.documents(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("text")).where(F.rlike("text", F.lit("^[a-zA-Z.,]{3,}$"))).distinct()
+    out = each.select("text", words.part_range(F.col("text"), F.lit(0.0), F.lit(60.0), F.lit(1), F.length("text") - 1).alias("r"))
+    return out.select("text", F.round("r.x0", 6).alias("x0"), F.round("r.x1", 6).alias("x1"))
+
+
+@query("""SELECT o_orderkey, round(least(a, b, c, d), 4) AS x0, round(greatest(a, b, c, d), 4) AS x1 FROM (SELECT o_orderkey,
+    50 + cos(radians(-30)) * (x - 50) + sin(radians(-30)) * (0 - 40) AS a, 50 + cos(radians(-30)) * (x - 50) + sin(radians(-30)) * (20 - 40) AS b,
+    50 + cos(radians(-30)) * (x + 10 - 50) + sin(radians(-30)) * (0 - 40) AS c, 50 + cos(radians(-30)) * (x + 10 - 50) + sin(radians(-30)) * (20 - 40) AS d FROM (SELECT o_orderkey, (o_orderkey % 90)::DOUBLE AS x FROM orders))""")
+def q_rotated_box(spark, sf_dir):
+    x = (F.col("o_orderkey") % 90).cast("double")
+    box = recognition.rotated_box(x, F.lit(0.0), x + 10, F.lit(20.0), 30.0, F.lit(100.0), F.lit(80.0))
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", box.alias("b")).select("o_orderkey", F.round("b.x0", 4).alias("x0"), F.round("b.x1", 4).alias("x1"))
+
+
+@query("""SELECT o_orderkey, NOT (bw < 36 OR bh < 18 OR n * 16 < pow(300 / 18.0, 2) OR (bh < 15 AND bw > 6 * bh) OR (bw < 15 AND bh > 6 * bw) OR d > 0.8 OR bw * bh / (2480 * 3508.0) > 0.2 OR (bw * bh / (2480 * 3508.0) > 0.04 AND d > 0.55) OR d < 0.03) AS unread
+    FROM (SELECT *, n / greatest((bw / 4) * (bh / 4), 1) AS d FROM (SELECT o_orderkey, (o_orderkey % 900)::DOUBLE AS bw, (o_orderkey % 700)::DOUBLE AS bh, (o_orderkey % 5000)::DOUBLE AS n FROM orders))""")
+def q_unread_filter(spark, sf_dir):
+    k = F.col("o_orderkey")
+    ok = recognition.unread_region(300, F.lit(2480), F.lit(3508), (k % 900).cast("double"), (k % 700).cast("double"), (k % 5000).cast("double"), F.lit(False))
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", ok.alias("unread"))
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR || '.pdf' AS path FROM orders WHERE o_custkey % 3 <> 0")
+def q_new_files(spark, sf_dir):
+    from tintwerk.sources.files import new_files, supported
+
+    orders = views.read(spark, sf_dir, "orders")
+    rows = orders.select(F.concat(F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("path")).unionByName(orders.limit(1).select(F.lit("x.exe").alias("path")))
+    return new_files(supported(rows), orders.where("o_custkey % 3 = 0").select(F.concat(F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("path")))
+
+
+@query(f"""WITH {LETTERS} SELECT doc_id, 1::BIGINT AS pages, (2 + (doc_id % 4 = 0)::INT)::BIGINT AS redactions, 0::BIGINT AS warnings FROM letters""")
+def q_export_summary(spark, sf_dir):
+    marks = _letter_marks(spark, sf_dir)
+    redacted = export.redact_pages(_letters(spark, sf_dir).select("doc_id", F.lit(0).alias("page_no"), "text"), marks)
+    return export.export_summary(marks, redacted, export.leaks(marks, redacted))
+
+
+@query("""SELECT DISTINCT 'all' AS case_id, (o_custkey % 50)::BIGINT AS doc_id, o_orderstatus AS text, min(o_orderkey) AS seq FROM orders GROUP BY ALL""")
+def q_finding_dedupe(spark, sf_dir):
+    rows = views.read(spark, sf_dir, "orders").select(F.lit("all").alias("case_id"), (F.col("o_custkey") % 50).alias("doc_id"), F.lit(0).alias("page_no"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("text"), F.lit("name").alias("kategorie"), F.lit("").alias("bezug"), F.lit(False).alias("unsicher"), F.lit("").alias("hinweis"))
+    return findings.deduplicated(rows).select("case_id", "doc_id", "text", "seq")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'E.M./R.M.' ELSE 'E.M.' END AS label FROM orders""")
+def q_mark_shared(spark, sf_dir):
+    k = F.col("o_orderkey") % 3
+    hits = views.read(spark, sf_dir, "orders").select("o_orderkey", F.lit("all").alias("case_id"), F.when(k == 0, "Frau Müllers").when(k == 1, "Frau Müller").otherwise("Erika").alias("text"), F.lit("E.M.").alias("label"), F.lit("name").alias("category"), F.when(k == 1, enums.INPUT).otherwise(enums.SALUTATION).alias("priority"))
+    shared = spark.createDataFrame([("all", "müller", "E.M./R.M.")], "case_id string, token string, shared string")
+    return analysis.mark_shared(hits, shared).select("o_orderkey", "label")
+
+
+@query("""SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END::INT AS found FROM customer""")
+def q_parse_replies(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    reply = F.when(k == 0, '<think>x</think>{"funde": [{"text": "A"}, {"text": "B"}]}').when(k == 1, '{"funde": [{"text": "A", "kategorie": "name"}, {"te').when(k == 2, 'Hier: {"funde": []}').otherwise("nichts")
+    return views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.coalesce(F.size(findings.parse_reply(reply)), F.lit(-1)).alias("found"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and letters to redacted text: rules, redaction and leak check in one plan."""
     docs = views.documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
