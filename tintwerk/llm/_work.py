@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tintwerk-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset and all run on this machine (tests)."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tintwerk-")
+    return _own[context.applicationId]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
