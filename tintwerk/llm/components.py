@@ -11,18 +11,19 @@ from tintwerk.llm._work import written
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, component`` (the smallest node reachable) for each node of the edges ``a, b`` (longs).
 
-    No group is collected: hot nodes are met by a partial minimum and a join whose hot side Spark can split.
-    Each round is written to the shared folder, and the loop ends when a round changes nothing.
+    No group is collected: hot nodes are met by a partial minimum, written as a table, and a join whose hot side Spark can split
+    (a join straight on an aggregate couldn't be). Each round is written to the shared folder, and the loop ends when a round changes nothing.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     for _ in range(most_rounds):
         # Large star: each node's larger neighbours go to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: a node and its smaller neighbours go to the smallest of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "stars")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -191,6 +191,8 @@ def near_duplicates(docs: DataFrame, least: int = 85, most: int = MOST) -> DataF
     reps = written(reps.select("r.doc_id", "r.regions"), "classes")
     placed = reps.select("doc_id", F.explode("regions").alias("region"))
     regions = placed.groupBy("region").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Tables of their own, here and for the classes: a join straight on an aggregate can't have its hot keys split.
+    regions = written(regions, "regions")
     stars = written(placed.join(regions, "region").select("doc_id", "region", "first", "n"), "stars")
     areas = written(connected_components(stars.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), "areas")
     sizes = areas.groupBy("component").agg(F.count("*").alias("members"))
@@ -205,6 +207,7 @@ def near_duplicates(docs: DataFrame, least: int = 85, most: int = MOST) -> DataF
         found = found.unionByName(connected_components(pairs.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     joined_reps = found.where("node <> component")
     classes = classes.join(joined_reps, classes.rep == joined_reps.node, "left").select("hi", "lo", F.coalesce("component", "rep").alias("of"))
+    classes = written(classes, "class-components")
     out = signed.drop("regions").join(classes, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("of"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
