@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tintwerk import enums, schemas
 from tintwerk.functions import text as tx
+from tintwerk.functions import tokens as tk
 from tintwerk.functions.spans import located
 from tintwerk.operators import export, findings, groups, names, patterns, recognition, review, words
 from tintwerk.plans import analysis
@@ -191,11 +192,11 @@ def q_rects(spark, sf_dir):
         ELSE levenshtein(q.a, CASE WHEN length(p.a) = length(q.a) + 1 AND p.a LIKE '%s' THEN substr(p.a, 1, length(q.a)) ELSE p.a END) <= CASE WHEN greatest(length(q.a), length(p.a)) < 9 THEN 1 ELSE 2 END END)) AS alike
     FROM t q CROSS JOIN q p""")
 def q_token_match(spark, sf_dir):
-    base = _letters(spark, sf_dir).select(tx.norm(F.split("person", " ")[1]).alias("a")).distinct()
-    other = views.read(spark, sf_dir, "customer").select(tx.norm(F.concat(F.split("c_name", "#")[0], (F.col("c_custkey") % 7).cast("string"))).alias("a")).distinct()
-    variants = base.select(F.explode(F.array("a", F.concat("a", F.lit("s")), F.concat(F.substring("a", F.lit(1), F.length("a") - 1), F.lit("i")))).alias("word")).union(other).distinct()
-    # Both sides are vocabularies of a few dozen tokens.
-    return base.withColumnRenamed("a", "query").crossJoin(variants).select("query", "word", tx.alike(F.col("query"), F.col("word"), True, True).alias("alike"))
+    # The words are a fixed vocabulary: each name, its genitive, its last letter misread, and tokens with digits.
+    names_ = [tk.norm(n) for n in views.LAST]
+    variants = [*names_, *(n + "s" for n in names_), *(n[:-1] + "i" for n in names_), *(f"customer{i}" for i in range(7))]
+    base = _letters(spark, sf_dir).select(tx.norm(F.split("person", " ")[1]).alias("query")).distinct()
+    return base.select("query", F.explode(F.array(*[F.lit(v) for v in dict.fromkeys(variants)])).alias("word")).select("query", "word", tx.alike(F.col("query"), F.col("word"), True, True).alias("alike"))
 
 
 @query(f"""WITH {LETTERS}, {_words_sql('letters')} SELECT doc_id, word_no::INT AS word_no, text FROM words WHERE {_norm_sql('text')} IN ('kinzel', 'kinzels') AND regexp_matches(ltrim(text, '{enums.TOKEN_EDGE.replace("'", "''")}'), '^\\p{{Lu}}')""")
