@@ -21,4 +21,4 @@ def test_batches_know_the_persons_before(spark, tmp_path):
     step(make_pages(spark, [["Frau Erika Mustermann kam."]]), 0)
     step(make_pages(spark, [["Frau Mustermann ging. Herr Emil Maier auch."]]), 1)
     hits = spark.read.parquet(str(tmp_path / "hits")).select("batch", "text", "label").collect()
-    assert {(r.batch, r.text, r.label) for r in hits} == {(0, "Erika Mustermann", "E.M."), (1, "Mustermann", "E.Mu."), (1, "Emil Maier", "E.Ma.")} or {r.label for r in hits if "Mustermann" in r.text} == {"E.M."}
+    assert {(r.batch, r.text, r.label) for r in hits} == {(0, "Erika Mustermann", "E.M."), (1, "Mustermann", "E.M."), (1, "Emil Maier", "E.Ma.")}

@@ -26,7 +26,8 @@ def each_batch(analyze: Callable[[DataFrame, DataFrame | None], tuple[DataFrame,
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        known = spark.read.parquet(f"{persons_path}/batch={number - 1}") if number else None
+        # Labels that are out already must stay.
+        known = spark.read.parquet(f"{persons_path}/batch={number - 1}").withColumn("fixed", F.lit(True)) if number else None
         hits, persons = analyze(batch, known)
         hits.write.mode("overwrite").parquet(f"{hits_path}/batch={number}")
         persons.write.mode("overwrite").parquet(f"{persons_path}/batch={number}")
