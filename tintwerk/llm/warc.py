@@ -122,6 +122,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     rows = rows.withColumn("digest", F.sha2("html", 256))
     # Digests that occur once need no join partner; only groups of copies are kept on the small side.
     first = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # As a table of its own: a join straight on an aggregate can't have its hot keys split.
+    first = written(first, "first-copies")
     rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
