@@ -265,7 +265,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text"))
     found = written(find_anchors(rows.where(F.octet_length("text") >= window).select("text_key", "text"), window, k), "anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = written(found.join(often, "anchor"), "shared")
+    # Tables of their own, here and for the marks: a join straight on an aggregate can't have its hot keys split.
+    shared = written(found.join(written(often, "often"), "anchor"), "shared")
     contexts = shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "place")).alias("owner"), F.min("before").alias("before"), F.min("after").alias("after"))
     contexts = written(contexts, "contexts")
     several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     indexed = index_contexts(pieces, window, k)
     own = contexts.where("n > 1").select("anchor", "context", F.col("before").alias("left"), F.col("after").alias("right"))
     marks = own.unionByName(indexed).groupBy("anchor", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    spans = shared.join(marks, ["anchor", "context"]).select("text_key", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+    spans = shared.join(written(marks, "marks"), ["anchor", "context"]).select("text_key", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
     spans = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
