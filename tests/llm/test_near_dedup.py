@@ -71,3 +71,24 @@ def test_edges(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     kept = near_dedup.deduplicated(spark.createDataFrame([(1, "a b c d e", "x", 1), (1, "a b c d e", "x", 1), (2, "A b c d e", "y", 2), (3, "z", "y", 2)], schema))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "component", "unit"]
+
+
+def crowd(seed, n, shared, own):
+    """Forms alike in ``shared`` of their words; each has one partner, with a word within and the last three changed."""
+    r = random.Random(seed)
+    new = lambda k: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k)]
+    head, texts = new(shared), []
+    for _ in range(n):
+        form = head + new(own)
+        texts += [" ".join(form), " ".join(form[:-8] + new(1) + form[-7:-3] + new(3))]
+    r.shuffle(texts)
+    return texts
+
+
+def test_partners_meet_in_a_crowd(spark):
+    rows = list(enumerate(crowd(5, 40, 100, 12) + [t for _, t in corpus(3)]))
+    want = brute_force(rows, 85)
+    assert len({c for d, _, c in want if d < 80}) == 40
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85, most=4).collect()
+    apart = {(r.doc_id, r.n_shingles, r.component_id) for r in got} ^ want
+    assert not apart, len(apart)

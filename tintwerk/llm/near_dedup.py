@@ -8,7 +8,7 @@
 3. Regions that overlap are joined into areas (connected components over class-to-region stars, linear in the classes),
    so each set is moved once. An area of over ``MOST`` classes is not moved whole: its regions are, at an adaptive depth
    (a region that is still crowded goes to the deeper prefix, and one crowded at full depth to blocks around its first
-   members); the links found there are joined by components again.
+   member, then to all pairs of blocks); the links found there are joined by components again.
 4. Within an area a union-find makes the exact comparisons: classes outside the largest component are compared with
    all that share a region with them and lie in another component, until no comparison is left.
 
@@ -91,10 +91,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 class _Sets:
     """The sets of one area, and a union-find over them."""
 
-    def __init__(self, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int):
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int, of: np.ndarray):
         self.ids, self.keys, self.at, self.n = ids, keys, at, np.diff(at)
         self.least = least
-        self.label = np.arange(len(ids))
+        # Sets of one known component have its first set's label from the start.
+        _, first, known = np.unique(of, return_index=True, return_inverse=True)
+        self.label = first[known]
         self.done = np.zeros((len(ids), len(ids)), bool)
 
     def compare(self, p: int, others: np.ndarray) -> None:
@@ -134,9 +136,9 @@ class _Sets:
                 self.compare(turn, others)
 
 
-def joined(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int) -> np.ndarray:
-    """For each set the smallest id in its component (by position: ids ascend)."""
-    sets = _Sets(ids, keys, at, least)
+def joined(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int, of: np.ndarray) -> np.ndarray:
+    """For each set the smallest id in its component (by position: ids ascend); sets of equal ``of`` are joined already."""
+    sets = _Sets(ids, keys, at, least, of)
     if len(ids) <= 64:
         sets.region(np.arange(len(ids)))
     else:
@@ -151,10 +153,10 @@ def joined(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int) -> np.
 
 
 def _linked(rows: DataFrame, least: int) -> DataFrame:
-    """``rows``: unit, doc_id, text. ``node, component`` of each doc_id within its unit."""
+    """``rows``: unit, doc_id, of (its known component), text. ``node, component`` of each doc_id within its unit."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(ids: list, texts: list) -> pa.RecordBatch:
+        def closed(ids: list, known: list, texts: list) -> pa.RecordBatch:
             column = pa.array(texts, pa.large_string())
             data, offsets = by.texts(column)
             keys, at = [], [np.zeros(1, np.int64)]
@@ -163,23 +165,24 @@ def _linked(rows: DataFrame, least: int) -> DataFrame:
                 keys.append(k)
                 at.append(a[1:] + at[-1][-1])
             own = np.array(ids, np.int64)
-            found = joined(own, np.concatenate(keys), np.concatenate(at), least)
+            found = joined(own, np.concatenate(keys), np.concatenate(at), least, np.array(known, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(own), pa.array(found)], ["node", "component"])
 
-        unit, ids, texts = None, [], []
+        unit, ids, known, texts = None, [], [], []
         for b in batches:
-            for u, d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for u, d, o, t in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if u != unit and ids:
-                    yield closed(ids, texts)
-                    ids, texts = [], []
+                    yield closed(ids, known, texts)
+                    ids, known, texts = [], [], []
                 unit = u
                 if not ids or ids[-1] != d:
                     ids.append(d)
+                    known.append(o)
                     texts.append(t)
         if ids:
-            yield closed(ids, texts)
+            yield closed(ids, known, texts)
 
-    return rows.select("unit", "doc_id", "text").repartition("unit").sortWithinPartitions("unit", "doc_id").mapInArrow(link, "node long, component long")
+    return rows.select("unit", "doc_id", "of", "text").repartition("unit").sortWithinPartitions("unit", "doc_id").mapInArrow(link, "node long, component long")
 
 
 def near_duplicates(docs: DataFrame, least: int = 85, most: int = MOST) -> DataFrame:
@@ -197,14 +200,13 @@ def near_duplicates(docs: DataFrame, least: int = 85, most: int = MOST) -> DataF
     areas = written(connected_components(stars.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))), "areas")
     sizes = areas.groupBy("component").agg(F.count("*").alias("members"))
     areas = areas.join(sizes, "component")
-    units = areas.where(F.col("members") <= most).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"))
+    units = areas.where(F.col("members") <= most).select(F.col("node").alias("doc_id"), F.col("component").alias("unit"), F.col("node").alias("of"))
     crowded = areas.where(F.col("members") > most).select(F.col("node").alias("doc_id"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     # A plan that doesn't change with the size: texts and units are always merged, never one of them broadcast.
     found = _linked(text.join(units.hint("merge"), "doc_id"), least)
     if not crowded.isEmpty():
-        pairs = _linked(_crowded_units(stars.join(crowded, "doc_id", "left_semi"), text, most), least).where("node <> component")
-        found = found.unionByName(connected_components(pairs.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        found = found.unionByName(_crowded_components(stars.join(crowded, "doc_id", "left_semi"), text, least, most))
     joined_reps = found.where("node <> component")
     classes = classes.join(joined_reps, classes.rep == joined_reps.node, "left").select("hi", "lo", F.coalesce("component", "rep").alias("of"))
     classes = written(classes, "class-components")
@@ -213,8 +215,12 @@ def near_duplicates(docs: DataFrame, least: int = 85, most: int = MOST) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _crowded_units(stars: DataFrame, text: DataFrame, most: int) -> DataFrame:
-    """Rows ``unit, doc_id, text`` of areas too large to move whole: a unit is a region, deeper where it is crowded."""
+def _crowded_components(stars: DataFrame, text: DataFrame, least: int, most: int) -> DataFrame:
+    """``node, component`` in areas too large to move whole: a unit is a region, deeper where it is crowded.
+
+    A region that is crowded at full depth is linked twice: in blocks around its first member, which joins most of a large
+    group of near copies in linear work, then in pairs of blocks, so that all that still lie in different components meet.
+    """
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,22 +231,49 @@ def _crowded_units(stars: DataFrame, text: DataFrame, most: int) -> DataFrame:
                 ids = np.repeat(np.array(b.column(0).slice(i, j - i)), TREES)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, signs)], ["doc_id", "region", "deep"])
 
-    ids = stars.select("doc_id").distinct()
-    own = text.join(ids, "doc_id")
+    own = text.join(stars.select("doc_id").distinct(), "doc_id")
     signs = written(own.dropDuplicates(["doc_id"]).mapInArrow(deeper, "doc_id long, region long, deep long"), "deep")
-    at_depth = signs.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
+    at_depth = written(signs.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "at-depth")
     rows = signs.join(at_depth, "region")
     plain = rows.where(F.col("n") <= most).select("doc_id", F.col("region").alias("unit"))
-    deep = rows.where(F.col("n") > most).select("doc_id", "deep")
-    counts = deep.groupBy("deep").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    deep = deep.join(counts, "deep")
+    deep = rows.where(F.col("n") > most).select("doc_id", F.col("deep").alias("region"))
+    counts = written(deep.groupBy("region").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "counts")
+    deep = written(deep.join(counts, "region"), "deep-regions")
+    plain = plain.unionByName(deep.where(F.col("n") <= most).select("doc_id", F.col("region").alias("unit")))
+    crowd = deep.where(F.col("n") > most)
     blocks = F.ceil(F.col("n") * 2 / F.lit(most))
-    block = F.when(F.col("n") <= most, F.lit(0)).otherwise(F.pmod(F.xxhash64("doc_id", "deep"), blocks))
+    members = crowd.select("doc_id", F.xxhash64("region", F.pmod(F.xxhash64("doc_id", "region"), blocks)).alias("unit"))
     # The first member stands in every block of its region, so that the blocks can join through it.
-    members = deep.select("doc_id", F.xxhash64("deep", block).alias("unit"))
-    hubs = counts.where(F.col("n") > most).select(F.col("first").alias("doc_id"), F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)).alias("b"), "deep").select("doc_id", F.xxhash64("deep", F.col("b").cast("long")).alias("unit"))
-    units = plain.unionByName(members).unionByName(hubs).distinct()
-    return own.join(units, "doc_id")
+    hubs = counts.where(F.col("n") > most).select(F.col("first").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), "region").select("doc_id", F.xxhash64("region", "b").alias("unit"))
+    units = plain.unionByName(members).unionByName(hubs).distinct().withColumn("of", F.col("doc_id"))
+    links = written(_linked(text.join(units, "doc_id"), least).where("node <> component"), "links")
+    found = written(_components(links), "found")
+    if crowd.isEmpty():
+        return found
+    units = _block_pairs(crowd.select("doc_id", "region"), found, most)
+    return _components(links.unionByName(_linked(text.join(units, "doc_id"), least).where("node <> component")))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links.select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+
+def _block_pairs(crowd: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """``doc_id, of, unit``: units of about ``most`` members in which any two of a region that lie in different components meet.
+
+    The region's largest component and the others are cut into blocks apart: a block of the others meets every block, one
+    of the largest component needn't meet its like.
+    """
+    rows = written(crowd.join(found, crowd.doc_id == found.node, "left").select("doc_id", "region", F.coalesce("component", "doc_id").alias("of")), "crowd")
+    parts = rows.groupBy("region", "of").agg(F.count("*").alias("n"))
+    parts = written(parts.groupBy("region").agg(F.max(F.struct("n", "of")).alias("top"), F.sum("n").alias("n")), "parts")
+    parts = parts.select("region", F.col("top.of").alias("largest"), *[F.ceil(x * 2 / F.lit(most)).alias(name) for name, x in (("others", F.col("n") - F.col("top.n")), ("tops", F.col("top.n")))])
+    rows = rows.join(parts.where("others > 0"), "region").withColumn("other", F.col("of") != F.col("largest"))
+    place = F.xxhash64("region", "doc_id")
+    rows = rows.withColumn("b", F.when(F.col("other"), F.pmod(place, F.col("others"))).otherwise(F.col("others") + F.pmod(place, F.greatest("tops", F.lit(1)))))
+    last = F.col("others") - 1 + F.when(F.col("other"), F.col("tops")).otherwise(0)
+    rows = rows.select("doc_id", "of", "region", "b", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("c")).where("b <> c")
+    return rows.select("doc_id", "of", F.xxhash64("region", F.least("b", "c"), F.greatest("b", "c")).alias("unit"))
 
 
 def deduplicated(docs: DataFrame, least: int = 80) -> DataFrame:
