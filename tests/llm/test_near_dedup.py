@@ -73,14 +73,14 @@ def test_edges(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "component", "unit"]
 
 
-def crowd(seed, n, shared, own):
-    """Forms alike in ``shared`` of their words; each has one partner, with a word within and the last three changed."""
+def crowd(seed, n, shared, own, last=3):
+    """Forms alike in ``shared`` of their words; each has one partner, with a word within and the ``last`` ones changed."""
     r = random.Random(seed)
     new = lambda k: ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k)]
     head, texts = new(shared), []
     for _ in range(n):
         form = head + new(own)
-        texts += [" ".join(form), " ".join(form[:-8] + new(1) + form[-7:-3] + new(3))]
+        texts += [" ".join(form), " ".join(form[: -last - 5] + new(1) + form[-last - 4 : -last] + new(last))]
     r.shuffle(texts)
     return texts
 
@@ -92,3 +92,12 @@ def test_partners_meet_in_a_crowd(spark):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85, most=4).collect()
     apart = {(r.doc_id, r.n_shingles, r.component_id) for r in got} ^ want
     assert not apart, len(apart)
+
+
+def test_depth_is_the_same_in_crowds(spark):
+    """Pairs of low similarity, which the forest finds by chance: a crowded region must give the same ones."""
+    texts = crowd(7, 100, 100, 30, last=17)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, parts = ({(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(docs, 68, most=m).collect()} for m in (4096, 4))
+    assert 100 <= len({c for _, c in whole}) < 110
+    assert whole == parts, len(whole ^ parts)

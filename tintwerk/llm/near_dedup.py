@@ -6,9 +6,9 @@
    least ``DEPTH`` hashes form a region. Two sets of similarity s share a region of some tree with a chance of
    1 - (1 - s**DEPTH)**TREES: all but 7e-7 at 0.85.
 3. Regions that overlap are joined into areas (connected components over class-to-region stars, linear in the classes),
-   so each set is moved once. An area of over ``MOST`` classes is not moved whole: its regions are, at an adaptive depth
-   (a region that is still crowded goes to the deeper prefix, and one crowded at full depth to blocks around its first
-   member, then to all pairs of blocks); the links found there are joined by components again.
+   so each set is moved once. An area of over ``MOST`` classes is not moved whole: its regions are (a
+   region of over ``MOST`` goes to blocks around its first member, then to all pairs of blocks); the links found there are
+   joined by components again.
 4. Within an area a union-find makes the exact comparisons: classes outside the largest component are compared with
    all that share a region with them and lie in another component, until no comparison is left.
 
@@ -30,7 +30,9 @@ from tintwerk.llm import _bytes as by
 from tintwerk.llm._work import written
 from tintwerk.llm.components import connected_components
 
-TREES, DEPTH, DEEP = 24, 5, 8
+TREES, DEPTH = 24, 5
+# Multipliers are drawn for 8 hashes a tree.
+DEEP = 8
 MOST = 4096
 U = np.uint64
 _rng = np.random.default_rng(11)
@@ -136,10 +138,18 @@ class _Sets:
                 self.compare(turn, others)
 
 
-def joined(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int, of: np.ndarray) -> np.ndarray:
-    """For each set the smallest id in its component (by position: ids ascend); sets of equal ``of`` are joined already."""
+def joined(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int, of: np.ndarray, one_region: bool = False) -> np.ndarray:
+    """For each set the smallest id in its component (by position: ids ascend); sets of equal ``of`` are joined already.
+
+    ``one_region``: the sets are of one region, and pairs that share a region of an earlier tree are compared there.
+    """
     sets = _Sets(ids, keys, at, least, of)
-    if len(ids) <= 64:
+    if one_region:
+        signs = prefixes(keys, at, DEPTH)
+        for t in range(int((signs == signs[0]).all(axis=0).argmax())):
+            sets.done |= signs[:, t, None] == signs[None, :, t]
+        sets.region(np.arange(len(ids)))
+    elif len(ids) <= 64:
         sets.region(np.arange(len(ids)))
     else:
         signs = prefixes(keys, at, DEPTH)
@@ -152,7 +162,7 @@ def joined(ids: np.ndarray, keys: np.ndarray, at: np.ndarray, least: int, of: np
     return ids[sets.label]
 
 
-def _linked(rows: DataFrame, least: int) -> DataFrame:
+def _linked(rows: DataFrame, least: int, one_region: bool = False) -> DataFrame:
     """``rows``: unit, doc_id, of (its known component), text. ``node, component`` of each doc_id within its unit."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +175,7 @@ def _linked(rows: DataFrame, least: int) -> DataFrame:
                 keys.append(k)
                 at.append(a[1:] + at[-1][-1])
             own = np.array(ids, np.int64)
-            found = joined(own, np.concatenate(keys), np.concatenate(at), least, np.array(known, np.int64))
+            found = joined(own, np.concatenate(keys), np.concatenate(at), least, np.array(known, np.int64), one_region)
             return pa.RecordBatch.from_arrays([pa.array(own), pa.array(found)], ["node", "component"])
 
         unit, ids, known, texts = None, [], [], []
@@ -216,42 +226,25 @@ def near_duplicates(docs: DataFrame, least: int = 85, most: int = MOST) -> DataF
 
 
 def _crowded_components(stars: DataFrame, text: DataFrame, least: int, most: int) -> DataFrame:
-    """``node, component`` in areas too large to move whole: a unit is a region, deeper where it is crowded.
+    """``node, component`` in areas too large to move whole: a unit is a region.
 
-    A region that is crowded at full depth is linked twice: in blocks around its first member, which joins most of a large
-    group of near copies in linear work, then in pairs of blocks, so that all that still lie in different components meet.
+    A crowded region is linked twice: in blocks around its first member, which joins most of a large group of near copies
+    in linear work, then in pairs of blocks, so that all that still lie in different components meet. The regions are
+    those of smaller areas, so a pair's chance to meet doesn't depend on the size.
     """
-
-    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = by.texts(b.column(1))
-            for i, j in by.slices(offsets):
-                keys, at = by.shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                signs = [prefixes(keys, at, d).view(np.int64).ravel() for d in (DEPTH, DEEP)]
-                ids = np.repeat(np.array(b.column(0).slice(i, j - i)), TREES)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, signs)], ["doc_id", "region", "deep"])
-
-    own = text.join(stars.select("doc_id").distinct(), "doc_id")
-    signs = written(own.dropDuplicates(["doc_id"]).mapInArrow(deeper, "doc_id long, region long, deep long"), "deep")
-    at_depth = written(signs.groupBy("region").agg(F.count("*").alias("n")).where("n > 1"), "at-depth")
-    rows = signs.join(at_depth, "region")
-    plain = rows.where(F.col("n") <= most).select("doc_id", F.col("region").alias("unit"))
-    deep = rows.where(F.col("n") > most).select("doc_id", F.col("deep").alias("region"))
-    counts = written(deep.groupBy("region").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"), "counts")
-    deep = written(deep.join(counts, "region"), "deep-regions")
-    plain = plain.unionByName(deep.where(F.col("n") <= most).select("doc_id", F.col("region").alias("unit")))
-    crowd = deep.where(F.col("n") > most)
+    plain = stars.where(F.col("n") <= most).select("doc_id", F.col("region").alias("unit"))
+    crowd = written(stars.where(F.col("n") > most), "crowd")
     blocks = F.ceil(F.col("n") * 2 / F.lit(most))
     members = crowd.select("doc_id", F.xxhash64("region", F.pmod(F.xxhash64("doc_id", "region"), blocks)).alias("unit"))
     # The first member stands in every block of its region, so that the blocks can join through it.
-    hubs = counts.where(F.col("n") > most).select(F.col("first").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), "region").select("doc_id", F.xxhash64("region", "b").alias("unit"))
+    hubs = crowd.where("doc_id = first").select("doc_id", "region", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b")).select("doc_id", F.xxhash64("region", "b").alias("unit"))
     units = plain.unionByName(members).unionByName(hubs).distinct().withColumn("of", F.col("doc_id"))
     links = written(_linked(text.join(units, "doc_id"), least).where("node <> component"), "links")
     found = written(_components(links), "found")
     if crowd.isEmpty():
         return found
     units = _block_pairs(crowd.select("doc_id", "region"), found, most)
-    return _components(links.unionByName(_linked(text.join(units, "doc_id"), least).where("node <> component")))
+    return _components(links.unionByName(_linked(text.join(units, "doc_id"), least, one_region=True).where("node <> component")))
 
 
 def _components(links: DataFrame) -> DataFrame:
