@@ -1,5 +1,6 @@
 import hashlib
 import random
+import textwrap
 
 from tintwerk.llm import chat_format, licenses
 
@@ -61,3 +62,45 @@ def test_licences(spark):
     )
     assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES if s not in ("you may not use this file except in compliance with the license",)) 
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+MIT = [
+    "The MIT License",
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+]
+BSD = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+]
+APACHE = [
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "http://www.apache.org/licenses/LICENSE-2.0",
+    'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+]
+
+
+def wrapped(parts, width=72, prefix="", end="\n"):
+    return (end + prefix.rstrip() + end).join(textwrap.fill(p, width, initial_indent=prefix, subsequent_indent=prefix).replace("\n", end) for p in parts)
+
+
+def scanned(spark, texts):
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: (r.identifiers, r.licenses) for r in got}
+
+
+def test_wrapped_licences(spark):
+    forms = [(72, "", "\n"), (40, "", "\r\n"), (78, " * ", "\n"), (78, "# ", "\r"), (10000, "", "\n")]
+    wants = [
+        (MIT, ["mit-title", "mit-grant", "mit-condition"], ["MIT"]),
+        (BSD, ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"], ["BSD-3-Clause", "BSD-2-Clause"]),
+        (APACHE, ["apache-notice", "apache-compliance", "apache-copy", "apache-warranty"], ["Apache-2.0"]),
+    ]
+    cases = [(wrapped(parts, *form), ids, names) for form in forms for parts, ids, names in wants]
+    got = scanned(spark, [c[0] for c in cases])
+    for k, (text, ids, names) in enumerate(cases):
+        assert got.get(k) == (ids, names), text
+    # An empty line ends a sentence; a sentence within a line stays unknown.
+    assert not scanned(spark, ["released under\n\nthe mit license terms", "see the MIT License for more"])

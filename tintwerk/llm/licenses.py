@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, in Spark expressions.
 
-A text is cut into sentences, each is normalised (lower case, letters and digits parted by single blanks) and looked
-up in a table of known licence sentences; the identifiers found, in text order, are matched against ordered rules: a
+A text is normalised (lower case, letters and digits parted by single blanks, with marks for lines and sentence ends) and
+searched for a table of known licence sentences, wrapped or not; the identifiers found, in text order, are matched against ordered rules: a
 rule holds if its identifiers occur as a run in the sequence. Where several rules hold, all are returned, the longest first.
 
 Defined cases: a null or empty text has no sentence and gives no row; a sentence that occurs again counts again in
@@ -10,6 +10,8 @@ Defined cases: a null or empty text has no sentence and gives no row; a sentence
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +68,28 @@ RULES = [
 HINTS = ["licen", "permission", "copyright", "redistribution", "this program is", "all rights reserved"]
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
-
-
 def sentences(text: Column) -> Column:
     """Pieces that end at a line break, or at a mark of sentence end before white space or the end."""
     return F.split(text, r"(?<=[.!?:;])\s+|\s*[\r\n]+\s*|(?<=[.!?])$")
 
 
+def marked(text: Column) -> Column:
+    """The normalised text with ``|`` for each line break and ``~`` for each sentence end, at both ends, and twice for an empty line."""
+    text = F.regexp_replace(F.translate(F.lower(text), "|~", "//"), r"\r\n?", "\n")
+    text = F.regexp_replace(text, r"\n\s*\n", "~~")
+    text = F.regexp_replace(text, r"(?<=[.!?:;])\s+", "~")
+    text = F.concat(F.lit("~"), F.regexp_replace(text, r"\n", "|"), F.lit("~"))
+    return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}|~]+", " "), r" ?([|~]) ?", "$1")
+
+
 def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:
     """``doc_id, n_sentences, identifiers, licenses`` of each document with a known sentence."""
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    # A licence sentence may run over several lines, or end within one: lines and sentences are both tried.
-    found = F.filter(F.transform("pieces", lambda p: F.try_element_at(lookup, normalised(p))), lambda i: i.isNotNull())
+    # A licence sentence may run over several lines, but not over an empty one; it begins and ends with a line or a sentence.
+    # Of those that begin at one place the longest counts.
+    longest = "|".join(re.escape(k).replace(r"\ ", "[ |]") for k in sorted(known, key=len, reverse=True))
+    places = F.regexp_extract_all(F.col("marked"), F.lit(rf"(?<=[|~])(?:{longest})(?=[|~])"), 0)
+    found = F.filter(F.transform(places, lambda p: F.try_element_at(lookup, F.regexp_replace(p, r"[|~]", " "))), lambda i: i.isNotNull())
     hint = F.lit(False)
     for h in HINTS:
         hint = hint | F.lower("text").contains(h)
@@ -87,8 +97,8 @@ def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: lis
     held = F.filter(F.array(*[F.when(F.contains(joined, F.lit(" " + " ".join(ids) + " ")), F.lit(name)) for name, ids in rules]), lambda n: n.isNotNull())
     return (
         docs.where(F.col("text").isNotNull() & hint)
-        .select("doc_id", sentences(F.col("text")).alias("pieces"))
-        .select("doc_id", F.size("pieces").cast("long").alias("n_sentences"), found.alias("identifiers"))
+        .select("doc_id", F.size(sentences(F.col("text"))).cast("long").alias("n_sentences"), marked(F.col("text")).alias("marked"))
+        .select("doc_id", "n_sentences", found.alias("identifiers"))
         .where(F.size("identifiers") > 0)
         .select("doc_id", "n_sentences", "identifiers", F.array_distinct(held).alias("licenses"))
     )
