@@ -104,3 +104,32 @@ def test_wrapped_licences(spark):
         assert got.get(k) == (ids, names), text
     # An empty line ends a sentence; a sentence within a line stays unknown.
     assert not scanned(spark, ["released under\n\nthe mit license terms", "see the MIT License for more"])
+
+
+def gpl(version, grant):
+    return [
+        f"This program is free software{grant[0]} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{grant[1]} either version {version} of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details.",
+    ]
+
+
+ORIGINALS = [
+    *MIT, *BSD, *APACHE, *gpl(3, ":,"), *gpl(2, ";;"),
+    "Released under the MIT License.", "MIT License", "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.",
+    "This work is licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2.",
+    "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.", "All rights reserved.",
+]
+
+
+def test_gpl_and_every_sentence_as_published(spark):
+    notices = [(3, ":,"), (2, ";;"), (2, ";,"), (3, ":;")]
+    got = scanned(spark, [wrapped(gpl(*n), *form) for n in notices for form in ((72, "", "\n"), (10000, "", "\n"), (60, "// ", "\r\n"))])
+    for k in range(12):
+        v = notices[k // 3][0]
+        assert got.get(k) == ([f"gpl{v}-grant", "gpl-warranty"], [f"GPL-{v}.0-or-later"])
+    for width in (72, 10000):
+        got = scanned(spark, [wrapped(ORIGINALS, width)])
+        assert set(got[0][0]) == set(licenses.SENTENCES.values())
+        # Both GPL notices hold the warranty's sentence.
+        assert len(got[0][0]) == len(licenses.SENTENCES) + 1

@@ -74,18 +74,18 @@ def sentences(text: Column) -> Column:
 
 
 def marked(text: Column) -> Column:
-    """The normalised text with ``|`` for each line break and ``~`` for each sentence end, at both ends, and twice for an empty line."""
+    """The normalised text with ``|`` for each line break, colon and semicolon and ``~`` for each sentence end, at both ends, and twice for an empty line."""
     text = F.regexp_replace(F.translate(F.lower(text), "|~", "//"), r"\r\n?", "\n")
     text = F.regexp_replace(text, r"\n\s*\n", "~~")
-    text = F.regexp_replace(text, r"(?<=[.!?:;])\s+", "~")
-    text = F.concat(F.lit("~"), F.regexp_replace(text, r"\n", "|"), F.lit("~"))
+    text = F.regexp_replace(text, r"(?<=[.!?])\s+", "~")
+    text = F.concat(F.lit("~"), F.regexp_replace(text, r"(?<=[:;])\s+|\n", "|"), F.lit("~"))
     return F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}|~]+", " "), r" ?([|~]) ?", "$1")
 
 
 def scan_licenses(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list = RULES) -> DataFrame:
     """``doc_id, n_sentences, identifiers, licenses`` of each document with a known sentence."""
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    # A licence sentence may run over several lines, but not over an empty one; it begins and ends with a line or a sentence.
+    # A licence sentence may run over several lines, but not over an empty one; it begins and ends with a line, a sentence or a part of one.
     # Of those that begin at one place the longest counts.
     longest = "|".join(re.escape(k).replace(r"\ ", "[ |]") for k in sorted(known, key=len, reverse=True))
     places = F.regexp_extract_all(F.col("marked"), F.lit(rf"(?<=[|~])(?:{longest})(?=[|~])"), 0)
