@@ -133,3 +133,9 @@ def test_gpl_and_every_sentence_as_published(spark):
         assert set(got[0][0]) == set(licenses.SENTENCES.values())
         # Both GPL notices hold the warranty's sentence.
         assert len(got[0][0]) == len(licenses.SENTENCES) + 1
+
+
+def test_hints_pass_other_spacing(spark):
+    texts = ["All  rights reserved.", "All\u00a0rights\u00a0reserved.", "all-rights-reserved", "All rights\nreserved.", gpl(3, ":,")[1].split("  See")[0].replace("program is", "program\nis")]
+    got = scanned(spark, texts)
+    assert [got.get(k, [None])[0] for k in range(5)] == [["all-rights-reserved"]] * 4 + [["gpl-warranty"]]

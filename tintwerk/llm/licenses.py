@@ -64,8 +64,8 @@ RULES = [
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("Proprietary", ["all-rights-reserved"]),
 ]
-# Every known sentence holds one of these; texts without any are passed over.
-HINTS = ["licen", "permission", "copyright", "redistribution", "this program is", "all rights reserved"]
+# Every known sentence holds one of these; texts without any are passed over. Single words, as the text isn't normalised yet.
+HINTS = ["licen", "permission", "copyright", "redistribution", "program", "reserved"]
 
 
 def sentences(text: Column) -> Column:
