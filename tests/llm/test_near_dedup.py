@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from tintwerk.llm import _bytes as by
 from tintwerk.llm import near_dedup
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -50,18 +53,47 @@ def corpus(seed, n=160):
     return list(enumerate(texts + [None, "", " \n", "Ein  Wort", "ein wort", "e f"]))
 
 
-@pytest.mark.parametrize("most", [4096, 4])
-def test_components_equal_brute_force(spark, most):
+@pytest.mark.parametrize(("leaf", "block", "most"), [(128, 512, 16 << 20), (4, 3, 16 << 20), (3, 2, 4000)])
+def test_components_equal_brute_force(spark, leaf, block, most):
     rows = corpus(3)
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85, most=most).collect()
-    want = brute_force(rows, 85)
-    if most == 4096:
-        assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == want
-    assert {(r.doc_id, r.n_shingles) for r in got} == {w[:2] for w in want}
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85, leaf, block, most).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_force(rows, 85)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
-    if most == 4:
-        apart = {(r.doc_id, r.component_id) for r in got} ^ {(w[0], w[2]) for w in want}
-        assert len(apart) <= 0.02 * len(want)
+
+
+def test_shingles():
+    texts = [t for _, t in corpus(9)]
+    data, offsets = by.texts(pa.array(texts, pa.string()))
+    keys, at = by.shingles(data, offsets)
+    assert np.diff(at).tolist() == [len(shingle_set(t)) for t in texts]
+    for i in range(0, len(texts), 7):
+        for j in range(0, len(texts), 5):
+            both = np.intersect1d(keys[at[i] : at[i + 1]], keys[at[j] : at[j + 1]])
+            assert len(both) == len(shingle_set(texts[i]) & shingle_set(texts[j]))
+
+
+def test_leaves():
+    r = random.Random(4)
+    for _ in range(200):
+        n = r.randrange(1, 40)
+        prefix, size = np.array([r.randrange(5, 9) for _ in range(n)]), np.array([r.randrange(1, 9) for _ in range(n)])
+        got = near_dedup.leaves(prefix, size, 5, 20)
+        assert [x for a, b in got for x in range(a, b)] == list(range(n))
+        assert all(b - a == 1 or b - a <= 5 and size[a:b].sum() <= 20 for a, b in got)
+
+
+def test_long_and_crowded_texts(spark):
+    """Long texts in a crowd of copies, over the bound of a unit's bytes."""
+    r = random.Random(12)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60_000)]
+    texts = []
+    for k in range(6):
+        own = list(base)
+        own[1000 * k] = "anders"
+        texts.append(" ".join(own))
+    texts += [" ".join(reversed(base)), "kurz"]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 85, most=500_000).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(d, 0 if d < 6 else d) for d in range(8)}
 
 
 def test_edges(spark):
@@ -69,6 +101,9 @@ def test_edges(spark):
     got = near_dedup.near_duplicates(spark.createDataFrame([(None, "a b c d e f", "x", 1), (4, "a b c d e f", None, None), (4, "a b c d e f", None, None), (None, None, None, 2), (9, None, None, 3)], schema)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (None, 0, None, True), (9, 0, 9, True)], key=str)
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    several = [(1, "a b c d e f g"), (1, "x y z u v w"), (1, None), (2, "A b c d e f g"), (3, "x y z u v w"), (4, "q r s t")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(several, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 0, 1), (1, 2, 1), (1, 3, 1), (2, 3, 1), (3, 2, 1), (4, 1, 4)]
     kept = near_dedup.deduplicated(spark.createDataFrame([(1, "a b c d e", "x", 1), (1, "a b c d e", "x", 1), (2, "A b c d e", "y", 2), (3, "z", "y", 2)], schema))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and kept.columns == ["doc_id", "text", "component", "unit"]
 
@@ -89,7 +124,7 @@ def test_partners_meet_in_a_crowd(spark):
     rows = list(enumerate(crowd(5, 40, 100, 12) + [t for _, t in corpus(3)]))
     want = brute_force(rows, 85)
     assert len({c for d, _, c in want if d < 80}) == 40
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85, most=4).collect()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 85, leaf=4, block=3).collect()
     apart = {(r.doc_id, r.n_shingles, r.component_id) for r in got} ^ want
     assert not apart, len(apart)
 
@@ -98,6 +133,6 @@ def test_depth_is_the_same_in_crowds(spark):
     """Pairs of low similarity, which the forest finds by chance: a crowded region must give the same ones."""
     texts = crowd(7, 100, 100, 30, last=17)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    whole, parts = ({(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(docs, 68, most=m).collect()} for m in (4096, 4))
+    whole, parts = ({(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(docs, 68, leaf=m, block=m).collect()} for m in (4096, 4))
     assert 100 <= len({c for _, c in whole}) < 110
     assert whole == parts, len(whole ^ parts)

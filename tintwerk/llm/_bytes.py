@@ -117,30 +117,34 @@ _SHINGLE = np.random.default_rng(7).integers(1, 1 << 63, 8, dtype=np.uint64) | U
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's sorted distinct word shingles as 48-bit hashes, and len+1 offsets by row.
+    """Each row's sorted distinct word shingles as 64-bit hashes, and len+1 offsets by row.
 
     A row of fewer words than ``size`` has its whole sequence as its one shingle; a row without words has none.
     """
     _, _, h, at = words(data, offsets)
     counts = np.diff(at)
-    rows = len(counts)
-    full = np.maximum(counts - size + 1, 0)
+    full = np.maximum(counts - size + 1, counts > 0)
+    ends = np.cumsum(full)
     first = np.repeat(at[:-1], full) + spread(full)
     total = np.zeros(len(first), U)
-    for k in range(size):
-        total += h[first + k] * _SHINGLE[k]
-    row = np.repeat(np.arange(rows), full)
     short = np.flatnonzero((counts > 0) & (counts < size))
+    long = np.ones(len(first), bool)
+    long[ends[short] - 1] = False
+    for k in range(size):
+        total[long] += h[first[long] + k] * _SHINGLE[k]
     if len(short):
-        extra = np.full(len(short), 0x51ED, U)
+        extra = np.full(len(short), 0x51ED, U) + counts[short].astype(U)
         for k in range(size - 1):
             has = counts[short] > k
             extra[has] += h[at[short[has]] + k] * _SHINGLE[k]
-        extra += counts[short].astype(U)
-        total, row = np.concatenate([total, extra]), np.concatenate([row, short])
-    if rows > 1 << 16:
-        raise ValueError("more than 65536 rows in one slice")
-    keys = np.sort((mixed(total) >> U(16)) | (row.astype(U) << U(48)))
-    if len(keys):
-        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    return keys & U((1 << 48) - 1), np.searchsorted(keys >> U(48), np.arange(rows + 1, dtype=U))
+        total[ends[short] - 1] = extra
+    keys = mixed(total)
+    # Row by row: texts are short beside a slice, so each sort stays in the cache.
+    for i, j in zip((ends - full).tolist(), ends.tolist(), strict=True):
+        if j - i > 1:
+            keys[i:j].sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    new[(ends - full)[full > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return keys[new], kept[np.concatenate([[0], ends])]
