@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tintwerk.llm import repeats
@@ -36,7 +37,7 @@ def test_statistics_equal_brute_force():
             contexts[r.randrange(2), x, y] = None
         rows = sorted((g, (x + anchor + y).encode(), len(x)) for g, x, y in contexts)
         rows = [c for c in rows if len(c[1]) - c[2] <= 12]
-        left, right = repeats._marked(rows, 12, 4)
+        left, right = repeats.marked(rows, 12, 4)
         for i, (g, a, at) in enumerate(rows):
             want = (0, 0)
             for j, (h, b, to) in enumerate(rows):
@@ -64,16 +65,50 @@ def corpus(seed):
     return rows + [(500, None), (501, ""), (502, "ab" * 80), (503, "a" * 90), (504, rows[3][1]), (504, rows[3][1]), (None, passages[0] * 2)]
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 2 << 20), (2, 2 << 20), (3, 300)])
-def test_marks_equal_brute_force(spark, seed, block, monkeypatch):
+def test_runs_compress():
+    """Contexts alike but for one byte give few runs, and the stream still tells each one's longest match."""
+    r = random.Random(8)
+    base = bytes(r.randrange(97, 123) for _ in range(672))
+    contexts = [(0, base[:i] + b"#" + base[i + 1 :], 272) for i in range(0, 272, 2)]
+    index = repeats.RunIndex(contexts, 400, 128)
+    rows = sum(len(c) for _, c, _ in index.matching_statistics())
+    assert rows > 10 * index.runs
+    left, right = repeats.marked(contexts, 400, 128)
+    assert (right == 400).all() and left.max() == 269
+
+
+def test_long_texts_in_pieces():
+    r = random.Random(6)
+    text = bytes(r.choice(b"ab") for _ in range(900)) + bytes(r.choice(b"abcdef") for _ in range(3000))
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = repeats.anchors(data, offsets, 20, 6)
+    for piece in (30, 64, 1000):
+        parts = [np.concatenate(x) for x in zip(*repeats._in_pieces(data, offsets, 20, 6, piece), strict=True)]
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(whole, parts, strict=True))
+
+
+@pytest.mark.parametrize(("seed", "block", "hot", "piece"), [(1, 2 << 20, 4096, 4 << 20), (2, 2 << 20, 2, 4 << 20), (3, 300, 4096, 40)])
+def test_marks_equal_brute_force(spark, seed, block, hot, piece, monkeypatch):
     monkeypatch.setattr(repeats.index_contexts, "__defaults__", (block,))
+    monkeypatch.setattr(repeats.find_anchors, "__defaults__", (piece,))
     rows = corpus(seed)
     schema = "doc_id long, text string, spans int, anchor string"
     docs = spark.createDataFrame([(*x, None, "y") for x in rows], schema).repartition(6)
-    got = repeats.remove_repeats(docs, 20, 6).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    got = repeats.remove_repeats(docs, 20, 6, hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     want = brute_force(rows, 20)
     assert sorted((tuple(x) for x in got), key=str) == want and sum(w[2] for w in want) > 500
 
 
+def test_long_text(spark):
+    """A text of several MB beside a short one that it holds."""
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40_000)]
+    long = " ".join(r.choice(words) for _ in range(1_500_000))
+    rows = [(1, long), (2, long[5_000_000:5_001_000]), (3, long[:399])]
+    got = {x.doc_id: x for x in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (len(long), 1000, 1) and got[1].spans == [[5_000_000, 5_001_000]]
+    assert got[2].n_removed == 1000 and got[3].n_removed == 0
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

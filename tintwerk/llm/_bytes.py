@@ -14,7 +14,7 @@ import pyarrow as pa
 U = np.uint64
 _MULTIPLIER = 0xD1342543DE82EF95
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_BYTE_VALUES = np.random.default_rng(20240607).integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+_BYTE_VALUES, _OTHER_VALUES = (np.random.default_rng(seed).integers(1, 1 << 64, 256, dtype=np.uint64, endpoint=False) for seed in (20240607, 20240608))
 
 _powers = [np.ones(1, U), np.ones(1, U)]
 
@@ -40,12 +40,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Prefix:
-    """Prefix sums of one byte array; ``hashes(start, end)`` gives a 64-bit hash of each [start, end)."""
+    """Prefix sums of one byte array; ``hashes(start, end)`` gives a 64-bit hash of each [start, end).
 
-    def __init__(self, data: np.ndarray, fold: np.ndarray | None = None):
+    ``other``: a second family of hashes, independent of the first; both together have 128 bits.
+    """
+
+    def __init__(self, data: np.ndarray, fold: np.ndarray | None = None, other: bool = False):
         n = len(data)
         up, self._down = powers(n + 1)
-        values = (_BYTE_VALUES if fold is None else _BYTE_VALUES[fold])[data]
+        table = _OTHER_VALUES if other else _BYTE_VALUES
+        values = (table if fold is None else table[fold])[data]
         values *= up[:n]
         self._sums = np.zeros(n + 1, U)
         np.cumsum(values, out=self._sums[1:])

@@ -4,19 +4,21 @@ Every byte that a string of ``window`` bytes covers which also starts elsewhere
 
 1. Anchors: of the k-grams within each window, the one of least hash (the leftmost of equals) is the window's anchor. It depends
    on the window's bytes only, so equal windows have the same anchor at the same place: it is enough to compare the
-   surroundings of equal anchors. About one byte in (window - k) / 2 is an anchor.
+   surroundings of equal anchors. About one byte in (window - k) / 2 is an anchor. A long text is read in overlapping pieces.
 2. Anchors of one occurrence in the corpus fall away. Of the others, equal surroundings (up to window - k bytes before the
-   anchor, up to ``window`` from its start) are one context with a count; its bytes are fetched once.
-   Contexts that share no near-window string with another one of their anchor can't share a window and fall away.
-3. Index: the contexts of an anchor, in the order of what follows it, are extended to the left byte by byte. Each column of
-   bytes is one of the run-compressed Burrows-Wheeler transform; common prefixes are measured at the ends of runs only, and
-   within a run they grow by one from column to column. The greater of both sides is the matching statistic of a position;
-   where it spans ``window`` bytes, the bytes are marked. A context that occurs more than once matches itself in full.
+   anchor, up to ``window`` from its start) are one context with a count; its bytes are fetched once. A context that occurs
+   more than once matches itself in full.
+3. Index (``RunIndex``): the contexts of an anchor, in the order of what follows it, are extended to the left byte by byte. Each column of
+   bytes is one of the Burrows-Wheeler transform, kept as runs only: where a run starts, where the last-to-first mapping takes it, and, sampled at
+   both ends of the run, the common prefix with the neighbour beyond. All contexts are then streamed through the runs: within
+   a run the mapping is a shift and common prefixes grow by one, at its ends they are the samples. The greater of both sides is the
+   matching statistic of a position; where it spans ``window`` bytes, the bytes are marked.
 4. Each occurrence takes its context's marks; a text's marks are merged and its remaining bytes hashed.
 
-A group too large for one index block is split by longer common strings: two contexts that share a window share either the
-longer left part or the longer right part, so the parts go separate ways, down to blocks, or to strings that already
-span a window, where neighbours in sorted order give the rest.
+An anchor with more than ``HOT`` contexts would make one large task. Its contexts' windows are counted instead, by a 128-bit hash
+and a partial aggregate, which gives the same marks, as the repeated windows around one anchor lie side by side.
+
+Texts, contexts and windows are told apart by 128 bits at least (anchor or doc_id, and hashes).
 
 Defined cases: a null text is empty; texts shorter than ``window`` lose nothing; rows are told apart by (doc_id, text), and
 rows equal in both count as two texts; a null doc_id is an id like others; extra columns are ignored; an empty table gives no row.
@@ -39,6 +41,10 @@ from tintwerk.llm._work import written
 
 WINDOW, K = 400, 128
 BLOCK = 8 << 20  # bytes of contexts indexed at a time
+HOT = 4096  # contexts of one anchor that one task indexes
+PIECE = 4 << 20  # bytes of a long text whose windows are read at a time
+KEY = ["k1", "k2"]
+CONTEXT = ["anchor", "c1", "c2"]
 U = np.uint64
 _PLACE = 28  # bits of a position within a slice
 
@@ -55,13 +61,11 @@ def _sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, ...]:
-    """Of all texts of a slice: anchor hash, row, position in the text, context hash, bytes before and after the anchor's start."""
-    if len(data) >> _PLACE:
-        raise ValueError("a text of 256 MB or more")
+    """Of all texts of a slice: anchor hash, row, position in the text, both context hashes, bytes after the anchor's start."""
     none = np.zeros(0, np.int64)
     if len(data) < window:
-        return none.view(U), none, none, none.view(U), none, none
-    prefix = by.Prefix(data)
+        return none.view(U), none, none, none.view(U), none.view(U), none
+    prefix, second = by.Prefix(data), by.Prefix(data, other=True)
     h = prefix.windows(k)
     low = U((1 << _PLACE) - 1)
     least = _sliding_least((h & ~low) | np.arange(len(h), dtype=U), window - k + 1)
@@ -73,182 +77,173 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple
     row = np.searchsorted(offsets, at, "right") - 1
     before = np.minimum(at - offsets[row], window - k)
     after = np.minimum(offsets[row + 1] - at, window)
-    context = by.mixed(prefix.hashes(at - before, at + after) ^ before.astype(U) * U(0x9E3779B97F4A7C15))
-    return h[at], row, at - offsets[row], context, before, after
+    side = before.astype(U) * U(0x9E3779B97F4A7C15)
+    first, other = (by.mixed(p.hashes(at - before, at + after) ^ side) for p in (prefix, second))
+    return h[at], row, at - offsets[row], first, other, after
+
+
+def _in_pieces(data: np.ndarray, offsets: np.ndarray, window: int, k: int, piece: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``anchors`` of a slice; a text longer than two pieces is read in pieces that overlap by what a window and its contexts reach."""
+    if len(offsets) > 2 or len(data) <= 2 * piece:
+        yield anchors(data, offsets, window, k)
+        return
+    for begin in range(0, len(data), piece):
+        # Anchors in [begin, begin + piece), with all windows that may have them, and the bytes that their contexts reach.
+        low, high = max(0, begin - (window - k)), min(len(data), begin + piece + 2 * window)
+        found = anchors(data[low:high], np.array([0, high - low]), window, k)
+        place = found[2] + low
+        mine = (place >= begin) & (place < (len(data) if high == len(data) else begin + piece))
+        yield found[0][mine], found[1][mine], place[mine], *(x[mine] for x in found[3:])
+        if high == len(data):
+            return
 
 
-def find_anchors(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """``anchor, context, text_key, place, before, after`` of each anchor of rows ``text_key, text``."""
+def find_anchors(texts: DataFrame, window: int, k: int, piece: int = PIECE) -> DataFrame:
+    """``anchor, c1, c2, k1, k2, place, after`` of each anchor of rows ``k1, k2, text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = by.texts(b.column(1))
-            keys = np.array(b.column(0))
+            data, offsets = by.texts(b.column(2))
+            keys = [np.array(b.column(i)) for i in range(2)]
             for i, j in by.slices(offsets):
-                a, row, place, context, before, after = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, k)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), context.view(np.int64), keys[i:j][row], place.astype(np.int32), before.astype(np.int32), after.astype(np.int32))], ["anchor", "context", "text_key", "place", "before", "after"])
+                for a, row, place, c1, c2, after in _in_pieces(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, k, piece):
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), c1.view(np.int64), c2.view(np.int64), keys[0][i:j][row], keys[1][i:j][row], place.astype(np.int32), after.astype(np.int32))], [*CONTEXT, *KEY, "place", "after"])
 
-    return texts.mapInArrow(run, "anchor long, context long, text_key long, place int, before int, after int")
+    return texts.select(*KEY, "text").mapInArrow(run, "anchor long, c1 long, c2 long, k1 long, k2 long, place int, after int")
 
 
 class RunIndex:
-    """Run-length index of anchor groups, built column by column.
+    """Run-compressed transform of anchor groups, built column by column to the left of the anchors.
 
-    The contexts of a group are sorted by what follows from the anchor on. Prepending the byte before each of them gives one
-    column of the Burrows-Wheeler transform: a stable sort by it (the last-to-first mapping) is the order one byte further left.
-    A column is a sequence of runs of equal bytes. Two neighbours within a run stay neighbours and share one byte more than
-    before; only at the ends of runs is a common prefix measured, as the least of those between.
+    ``columns[d]`` has the runs of the bytes d + 1 before the anchor, in the order of what follows them: each run's start, its head
+    (-1: texts that begin there, or can't reach a window any more), the place of its first row one byte further left, and the sampled
+    common prefixes there: of its first row with the row before, of its last row with the row after.
     """
 
     def __init__(self, contexts: list[tuple[int, bytes, int]], window: int, k: int):
-        m = len(contexts)
-        self.window, self.reach = window, window - k
+        m, self.reach = len(contexts), window - k
         names = {g: i for i, g in enumerate(dict.fromkeys(c[0] for c in contexts))}
-        self.group = np.array([names[c[0]] for c in contexts], np.int64)
-        self.columns = np.full((self.reach, m), -1, np.int16)
+        group = np.array([names[c[0]] for c in contexts], np.int64)
+        left = np.full((self.reach, m), -1, np.int16)
         behind = np.full((m, window), -1, np.int16)
         sizes = np.empty(m, np.int64)
         for i, (_, raw, before) in enumerate(contexts):
             x = np.frombuffer(raw, np.uint8)
-            self.columns[:before, i] = x[:before][::-1]
+            left[:before, i] = x[:before][::-1]
             behind[i, : len(x) - before] = x[before:]
             sizes[i] = len(x) - before
-        self.order = np.array(sorted(range(m), key=lambda i: (self.group[i], contexts[i][1][contexts[i][2] :])), np.int64)
+        self.order = np.array(sorted(range(m), key=lambda i: (group[i], contexts[i][1][contexts[i][2] :])), np.int64)
         a, b = self.order[:-1], self.order[1:]
         differs = behind[a] != behind[b]
         common = np.where(differs.any(1), differs.argmax(1), window)
-        common = np.minimum(common, np.minimum(sizes[a], sizes[b])) * (self.group[a] == self.group[b])
-        self.common = np.concatenate([[0], common])  # with the one before in the order, from the current start on
-        self.runs = 0
-
-    def statistics(self) -> np.ndarray:
-        """For each context in the current order, the longest match of its current suffix with another one."""
-        return np.maximum(self.common, np.append(self.common[1:], 0))
-
-    def prepend(self, d: int, keep: np.ndarray) -> None:
-        """Goes one byte further left, to the d-th before the anchor; contexts outside ``keep``, or that end there, leave the order."""
-        column = self.columns[d - 1, self.order].astype(np.int64)
-        at = np.flatnonzero(keep & (column >= 0))
-        key = self.group[self.order] * 256 + column
-        at = at[np.argsort(key[at], kind="stable")]
-        p, q = at[:-1], at[1:]
-        same = key[p] == key[q]
-        inside = same & (q == p + 1)
-        self.runs += len(at) - int(inside.sum())
-        new = np.zeros(len(at), np.int64)
-        new[1:][inside] = self.common[q[inside]] + 1
-        ends = same & ~inside
-        if ends.any():
-            between = np.stack([p[ends] + 1, q[ends] + 1], axis=1).ravel()
-            new[1:][ends] = np.minimum.reduceat(np.append(self.common, 0), between)[::2] + 1
-        self.order, self.common = self.order[at], new
-
-
-def _marked(contexts: list[tuple[int, bytes, int]], window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        common = np.minimum(common, np.minimum(sizes[a], sizes[b])) * (group[a] == group[b])
+        self.common = np.concatenate([[0], common])  # of each row of the first order with the one before
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self._build(group, left, window)
+
+    def _build(self, group: np.ndarray, left: np.ndarray, window: int) -> None:
+        order, common = self.order, self.common
+        for d in range(1, self.reach + 1):
+            matched = np.maximum(common, np.append(common[1:], 0))
+            # A row whose match can't reach a window's length any more goes no further.
+            head = np.where((matched + self.reach - d + 1 >= window) & (left[d - 1, order] >= 0), group[order] * 256 + left[d - 1, order], -1)
+            new = np.ones(len(head), bool)
+            new[1:] = head[1:] != head[:-1]
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(head)))
+            heads = head[start]
+            on = np.flatnonzero(heads >= 0)
+            if not len(on):
+                break
+            by_head = on[np.argsort(heads[on], kind="stable")]
+            to = np.full(len(start), -1)
+            to[by_head] = np.concatenate([[0], np.cumsum(size[by_head])[:-1]])
+            # Two runs that become neighbours have in common what all rows between them have, and the byte itself.
+            up, down = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+            p, q = by_head[:-1], by_head[1:]
+            same = heads[p] == heads[q]
+            if same.any():
+                between = np.stack([start[p[same]] + size[p[same]], start[q[same]] + 1], axis=1).ravel()
+                least = np.minimum.reduceat(np.append(common, 0), between)[::2] + 1
+                up[q[same]], down[p[same]] = least, least
+            self.columns.append((start, size, heads, to, up, down))
+            rows = np.flatnonzero(head >= 0)
+            run = np.repeat(np.arange(len(start)), size)[rows]
+            place = to[run] + rows - start[run]
+            order, common = self._moved(order, rows, place), self._moved(np.where(new, np.repeat(up, size), common + 1), rows, place)
+
+    @staticmethod
+    def _moved(x: np.ndarray, rows: np.ndarray, place: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows), x.dtype)
+        out[place] = x[rows]
+        return out
+
+    @property
+    def runs(self) -> int:
+        return sum(len(c[0]) for c in self.columns)
+
+    def matching_statistics(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(bytes before the anchor, contexts still in the stream, the longest match of each from there on with another one), column by column.
+
+        The stream reads the runs only: a context is its place, and the common prefixes above and below it.
+        """
+        context, place = self.order, np.arange(len(self.order))
+        above, below = self.common, np.append(self.common[1:], 0)
+        yield 0, context, np.maximum(above, below)
+        for d, (start, size, heads, to, up, down) in enumerate(self.columns, 1):
+            run = np.searchsorted(start, place, "right") - 1
+            on = heads[run] >= 0
+            run, place, context, above, below = run[on], place[on], context[on], above[on], below[on]
+            above = np.where(place == start[run], up[run], above + 1)
+            below = np.where(place == start[run] + size[run] - 1, down[run], below + 1)
+            place = to[run] + place - start[run]
+            yield d, context, np.maximum(above, below)
+
+
+def marked(contexts: list[tuple[int, bytes, int]], window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For contexts (group, bytes, bytes before the anchor), how many bytes before and after each anchor's start are repeated in
     another context of its group; both 0 where no window is."""
-    index = RunIndex(contexts, window, k)
     left, right = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
-    for d in range(index.reach + 1):
-        if d:
-            # A suffix that can't reach a window's length any more needs no further column.
-            index.prepend(d, matched + index.reach - d + 1 >= window)
-        if not len(index.order):
-            break
-        matched = index.statistics()
-        ok = matched >= window
-        left[index.order[ok]] = d
-        np.maximum.at(right, index.order[ok], matched[ok] - d)
+    for d, context, longest in RunIndex(contexts, window, k).matching_statistics():
+        ok = longest >= window
+        left[context[ok]] = d
+        np.maximum.at(right, context[ok], longest[ok] - d)
     return left, right
 
 
-def _shared(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    x, y = np.frombuffer(a, np.uint8, n), np.frombuffer(b, np.uint8, n)
-    return int((x != y).argmax())
+def _cut(candidates: DataFrame) -> DataFrame:
+    """``anchor, c1, c2, raw, before``: the bytes of the contexts that each text lends."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = text.encode()
+                ids = [pa.array([c[n] for c in of], pa.int64()) for n in CONTEXT]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array([raw[c["place"] - c["before"] : c["place"] + c["after"]] for c in of], pa.binary()), pa.array([c["before"] for c in of], pa.int32())], [*CONTEXT, "raw", "before"])
 
-def _large(contexts: list[tuple[int, bytes, int]], members: list[int], low: int, reach: int, window: int, k: int, most: int, out: dict[int, tuple[int, int]]) -> None:
-    """One group's contexts, ``low`` bytes before and ``reach`` bytes after whose anchor's start are known to be common."""
-    if len(members) < 2:
-        return
+    return candidates.where("lent IS NOT NULL").select("text", "lent").mapInArrow(cut, "anchor long, c1 long, c2 long, raw binary, before int")
 
-    def tell(i: int, left: int, right: int) -> None:
-        a, b = out.get(i, (0, 0))
-        out[i] = max(a, left), max(b, right)
-
-    if low + reach >= window:
-        # All share a window: on either side, the longest match is with a neighbour in sorted order.
-        for side in (0, 1):
-            key = {i: contexts[i][1][: contexts[i][2]][::-1] if side == 0 else contexts[i][1][contexts[i][2] :] for i in members}
-            order = sorted(members, key=key.__getitem__)
-            for i, j in zip(order, order[1:], strict=False):
-                n = _shared(key[i], key[j])
-                for m in (i, j):
-                    tell(m, n if side == 0 else low, reach if side == 0 else n)
-        return
-    if sum(len(contexts[i][1]) for i in members) <= most:
-        left, right = _marked([(0, *contexts[i][1:]) for i in members], window, k)
-        for n, i in enumerate(members):
-            if right[n]:
-                tell(i, int(left[n]), int(right[n]))
-        return
-    # A shared window has at least ``middle`` bytes before the anchor, or more than window - middle from its start.
-    middle = low + (window - reach - low + 1) // 2
-    for left, right in ((middle, reach), (low, window - middle + 1)):
-        if left == low and right <= reach:
-            continue
-        parts: dict[bytes, list[int]] = {}
-        for i in members:
-            _, raw, before = contexts[i]
-            if before >= left and len(raw) - before >= right:
-                parts.setdefault(raw[before - left : before + right], []).append(i)
-        for part in parts.values():
-            _large(contexts, part, left, right, window, k, most, out)
-
-
-def _sharing(group: list[tuple[int, int, bytes, int]], window: int, k: int, bands: int = 4) -> list[tuple[int, int, bytes, int]]:
-    """Contexts of one anchor that share most of a window with another one of it; no others can share a window.
-
-    A shared window begins in one of ``bands`` ranges before the anchor; then the bytes from that range's end to the earliest end of such a window are common.
-    """
-    step = -(-(window - k + 1) // bands)
-    seen: dict[tuple[int, bytes], int] = {}
-    keep = set()
-    for n, (_, _, raw, before) in enumerate(group):
-        for band in range(bands):
-            left, right = step * band, max(k, window - step * (band + 1) + 1)
-            if left > before or right > len(raw) - before:
-                continue
-            first = seen.setdefault((band, raw[before - left : before + right]), n)
-            if first != n:
-                keep |= {first, n}
-    return [group[n] for n in sorted(keep)]
+
+_MARKS = "anchor long, c1 long, c2 long, left int, right int"
 
 
-def index_contexts(contexts: DataFrame, window: int, k: int, block: int = BLOCK) -> DataFrame:
-    """``anchor, context, left, right`` of each context (anchor, context, raw, before) with a repeated window."""
+def index_contexts(pieces: DataFrame, window: int, k: int, block: int = BLOCK) -> DataFrame:
+    """``anchor, c1, c2, left, right`` of each context (anchor, c1, c2, raw, before) with a repeated window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(rows: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
-            plain = [(r[0], r[2], r[3]) for r in rows]
-            if len({r[0] for r in rows}) == 1 and sum(len(r[2]) for r in rows) > block:
-                found: dict[int, tuple[int, int]] = {}
-                _large(plain, list(range(len(rows))), 0, k, window, k, block, found)
-                left, right = (np.array([found.get(i, (0, 0))[s] for i in range(len(rows))]) for s in (0, 1))
-            else:
-                left, right = _marked(plain, window, k)
+        def closed(rows: list[tuple]) -> pa.RecordBatch:
+            left, right = marked([(r[0], r[3], r[4]) for r in rows], window, k)
             some = np.flatnonzero(right)
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()), pa.array(left[some].astype(np.int32)), pa.array(right[some].astype(np.int32))], ["anchor", "context", "left", "right"])
+            return pa.RecordBatch.from_arrays([*(pa.array([rows[i][n] for i in some], pa.int64()) for n in range(3)), pa.array(left[some].astype(np.int32)), pa.array(right[some].astype(np.int32))], [*CONTEXT, "left", "right"])
 
         held, size = [], 0
-        every = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("anchor", "context", "raw", "before")), strict=True))
+        every = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (*CONTEXT, "raw", "before")), strict=True))
         for _, group in groupby(every, key=itemgetter(0)):
-            own = _sharing(list(group), window, k)
-            more = sum(len(r[2]) for r in own)
+            own = list(group)
+            if len(own) < 2:
+                continue
+            more = sum(len(r[3]) for r in own)
             if held and size + more > block:
                 yield closed(held)
                 held, size = [], 0
@@ -256,45 +251,65 @@ def index_contexts(contexts: DataFrame, window: int, k: int, block: int = BLOCK)
         if held:
             yield closed(held)
 
-    rows = contexts.select("anchor", "context", "raw", "before").repartition("anchor").sortWithinPartitions("anchor", "context")
-    return rows.mapInArrow(run, "anchor long, context long, left int, right int")
+    return pieces.repartition("anchor").sortWithinPartitions(*CONTEXT).mapInArrow(run, _MARKS)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
+def count_windows(pieces: DataFrame, window: int, k: int) -> DataFrame:
+    """The same as ``index_contexts``, for anchors of very many contexts: windows are counted by hash, so no anchor meets in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = by.texts(b.column("raw"))
+            if not len(data):
+                continue
+            before = np.array(b.column("before"))
+            first, second = by.Prefix(data), by.Prefix(data, other=True)
+            # Window starts, as bytes before the anchor: it lies in the context and holds the anchor.
+            n = before - np.maximum(0, window - (np.diff(offsets) - before)) + 1
+            row = np.repeat(np.arange(b.num_rows), n)
+            d = before[row] - by.spread(n)
+            at = offsets[row] + before[row] - d
+            ids = [np.array(b.column(c))[row] for c in CONTEXT]
+            for i in range(0, len(row), 1 << 16):
+                s = slice(i, i + (1 << 16))
+                hashes = [by.mixed(p.hashes(at[s], at[s] + window) + d[s].astype(U)).view(np.int64) for p in (first, second)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[s]) for x in ids), pa.array(d[s].astype(np.int16)), *(pa.array(h) for h in hashes)], [*CONTEXT, "d", "w1", "w2"])
+
+    windows = written(pieces.select(*CONTEXT, "raw", "before").mapInArrow(run, "anchor long, c1 long, c2 long, d short, w1 long, w2 long"), "windows")
+    again = windows.groupBy("anchor", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    found = windows.join(written(again, "repeated-windows"), ["anchor", "w1", "w2"]).groupBy(*CONTEXT)
+    return found.agg(F.max("d").cast("int").alias("left"), (F.lit(window) - F.min("d")).cast("int").alias("right"))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of each row; spans: the removed [start, end) in bytes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("doc_id", "text"))
-    found = written(find_anchors(rows.where(F.octet_length("text") >= window).select("text_key", "text"), window, k), "anchors")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"k1": F.coalesce("doc_id", F.lit(-(1 << 63))), "k2": F.xxhash64("text")})
+    found = written(find_anchors(rows.where(F.octet_length("text") >= window), window, k), "anchors")
     often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     # Tables of their own, here and for the marks: a join straight on an aggregate can't have its hot keys split.
     shared = written(found.join(written(often, "often"), "anchor"), "shared")
-    contexts = shared.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "place")).alias("owner"), F.min("before").alias("before"), F.min("after").alias("after"))
-    contexts = written(contexts, "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    contexts = shared.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("owner"), F.min("after").alias("after"))
+    contexts = written(contexts.withColumn("before", F.least(F.col("owner.place"), F.lit(window - k))), "contexts")
+    several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = written(several.select("anchor", (F.col("kinds") > hot).alias("hot")), "several")
     # A text lends its bytes to as many contexts as it has anchors: the list is bounded by the text.
-    lent = contexts.join(several, "anchor").groupBy(F.col("owner.text_key").alias("text_key")).agg(F.collect_list(F.struct("anchor", "context", F.col("owner.place").alias("place"), "before", "after")).alias("lent"))
-    keys = shared.select("text_key").distinct()
-    candidates = written(rows.select("text_key", "text").join(keys.join(lent, "text_key", "left"), "text_key"), "candidates")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, of in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = text.encode()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c["anchor"] for c in of], pa.int64()), pa.array([c["context"] for c in of], pa.int64()), pa.array([raw[c["place"] - c["before"] : c["place"] + c["after"]] for c in of], pa.binary()), pa.array([c["before"] for c in of], pa.int32())],
-                    ["anchor", "context", "raw", "before"],
-                )
-
-    pieces = candidates.where("lent IS NOT NULL").select("text", "lent").mapInArrow(cut, "anchor long, context long, raw binary, before int")
-    indexed = index_contexts(pieces, window, k)
-    own = contexts.where("n > 1").select("anchor", "context", F.col("before").alias("left"), F.col("after").alias("right"))
-    marks = own.unionByName(indexed).groupBy("anchor", "context").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    spans = shared.join(written(marks, "marks"), ["anchor", "context"]).select("text_key", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
-    spans = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "end")).alias("marks"))
+    lent = contexts.join(several, "anchor").groupBy("owner.k1", "owner.k2").agg(F.collect_list(F.struct(*CONTEXT, F.col("owner.place").alias("place"), "before", "after", "hot")).alias("all"))
+    part = lambda hot: F.when(F.exists("all", lambda c: c["hot"] == hot), F.filter("all", lambda c: c["hot"] == hot))
+    lent = lent.select(*KEY, part(False).alias("lent"), part(True).alias("hot"))
+    keys = shared.select(*KEY).distinct()
+    candidates = written(rows.select(*KEY, "text").join(keys.join(lent, KEY, "left"), KEY), "candidates")
+    own = contexts.where("n > 1").select(*CONTEXT, F.col("before").alias("left"), F.col("after").alias("right"))
+    indexed = index_contexts(_cut(candidates.select("text", "lent")), window, k)
+    counted = count_windows(_cut(candidates.select("text", F.col("hot").alias("lent"))), window, k)
+    marks = own.unionByName(indexed).unionByName(counted).groupBy(*CONTEXT).agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    spans = shared.join(written(marks, "marks"), CONTEXT).select(*KEY, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+    spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("marks"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, text, of in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for k1, k2, text, of in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw, merged = text.encode(), []
                 for start, end in sorted((m["start"], m["end"]) for m in of):
                     if merged and start <= merged[-1][1]:
@@ -306,13 +321,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
                     kept.update(raw[at:start])
                     at = end
                 kept.update(raw[at:])
-                out.append((key, sum(e - s for s, e in merged), merged, kept.hexdigest()))
-            keys, removed, merged, digests = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(removed, pa.int64()), pa.array(merged, pa.list_(pa.list_(pa.int32()))), pa.array(digests, pa.string())], ["text_key", "n_removed", "spans", "kept"])
+                out.append((k1, k2, sum(e - s for s, e in merged), merged, kept.hexdigest()))
+            columns = zip(*out, strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())), pa.string()), strict=True)], [*KEY, "n_removed", "spans", "kept"])
 
-    cleaned = candidates.select("text_key", "text").join(spans, "text_key").mapInArrow(clean, "text_key long, n_removed long, spans array<array<int>>, kept string").dropDuplicates(["text_key"])
-    base = rows.select("doc_id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
-    return base.join(cleaned, "text_key", "left").select(
+    cleaned = candidates.select(*KEY, "text").join(spans, KEY).mapInArrow(clean, "k1 long, k2 long, n_removed long, spans array<array<int>>, kept string").dropDuplicates(KEY)
+    base = rows.select("doc_id", *KEY, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
+    return base.join(cleaned, KEY, "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
