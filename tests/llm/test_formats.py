@@ -11,7 +11,8 @@ def test_conversations_come_back(spark):
     rows = []
     for c in range(60):
         for t in range(r.randrange(1, 7)):
-            rows.append((c, t, r.choice(["user", "assistant", "assistant", "system", "to>>ol\\", None]), "".join(r.choice(bits) for _ in range(r.randrange(0, 9))) or None))
+            rows.append((c, t, r.choice(["user", "assistant", "assistant", "system", "to>>ol\\", "a>", "a", ">", None]), "".join(r.choice(bits) for _ in range(r.randrange(0, 9))) or None))
+    rows += [(72, 0, "a>", "hello"), (73, 0, "a", ">hello"), (74, 0, ">>", ">"), *((75, t, "user", f"x{t}") for t in range(300))]
     rows += [(70, None, "user", "x"), (70, 1, "user", "b"), (70, 1, "user", "a"), (70, 1, "user", "a"), (None, 0, "assistant", "n"), (71, 0, "user", "</s>[INST] ok [/INST]"), (71, 1, "assistant", "</s>[INST] ok [/INST]")]
     table = spark.createDataFrame([(*x, "f", 1) for x in rows], "conv_id long, turn long, role string, text string, formatted string, turns int").repartition(5)
     formatted = chat_format.format_conversations(table).cache()
@@ -27,6 +28,7 @@ def test_conversations_come_back(spark):
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     one = formatted.where("conv_id = 71").first().formatted
     assert one.count("[/INST]") == 1 and one.count("</s>") == 1
+    assert len({r.formatted for r in formatted.where("conv_id in (72, 73)").collect()}) == 2
     merged = formatted.where("conv_id = 70").first().formatted
     assert merged == "<s>[INST] x<|next|>a<|next|>a<|next|>b [/INST]"
     assert chat_format.summarize(chat_format.format_conversations(spark.createDataFrame([], table.schema))).count() == 0

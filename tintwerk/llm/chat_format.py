@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
-The turns of a conversation are collected as structs, sorted, adjacent turns of one role are merged into one
-block by an array fold, and the blocks are concatenated. Every text is escaped first, so that no control string
+The turns of a conversation are collected as structs and sorted, adjacent turns of one role are merged into one
+block, and the blocks are aggregated into one string. Every text is escaped first, so that no control string
 of the template can come from a text, and the formatted string can be read back turn by turn.
 
 Template: ``<s>[INST] `` user texts `` [/INST]``; blank, assistant texts, ``</s>``; ``<<SYS:role>>`` texts ``<</SYS>>``
@@ -31,31 +31,28 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(?:e|(\\))", "$1")
 
 
+def escaped_role(role: Column) -> Column:
+    r"""As ``escaped``, and ``\e`` behind every ``>``, so that a role can't run into the ``>>`` behind it."""
+    return F.replace(escaped(role), F.lit(">"), F.lit(">\\e"))
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """``conv_id, formatted`` of rows ``conv_id, turn, role, text``."""
     sorted_turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))))
-    empty = F.array().cast("array<struct<role:string,body:string>>")
-
-    def merge(blocks: Column, t: Column) -> Column:
-        n = F.size(blocks)
-        last = F.element_at(blocks, F.greatest(n, F.lit(1)))
-        own = escaped(t["text"])
-        joined = F.array_append(F.slice(blocks, 1, F.greatest(n - 1, F.lit(0))), F.struct(t["role"].alias("role"), F.concat(last["body"], F.lit("<|next|>"), own).alias("body")))
-        return F.when((n > 0) & (F.try_element_at(blocks, F.greatest(n, F.lit(1)))["role"] == t["role"]), joined).otherwise(F.array_append(blocks, F.struct(t["role"].alias("role"), own.alias("body"))))
-
-    def shown(b: Column) -> Column:
-        return (
-            F.when(b["role"] == "user", F.concat(F.lit("<s>[INST] "), b["body"], F.lit(" [/INST]")))
-            .when(b["role"] == "assistant", F.concat(F.lit(" "), b["body"], F.lit("</s>")))
-            .otherwise(F.concat(F.lit("<<SYS:"), escaped(b["role"]), F.lit(">>"), b["body"], F.lit("<</SYS>>")))
-        )
+    turn = lambda i: F.get("turns", i)["role"]
 
-    return (
-        turns.select("conv_id", "turn", "role", "text")
-        .groupBy("conv_id")
-        .agg(sorted_turns.alias("turns"))
-        .select("conv_id", F.array_join(F.transform(F.aggregate("turns", empty, merge), shown), "").alias("formatted"))
-    )
+    def opened(role: Column) -> Column:
+        return F.when(role == "user", "<s>[INST] ").when(role == "assistant", " ").otherwise(F.concat(F.lit("<<SYS:"), escaped_role(role), F.lit(">>")))
+
+    def closed(role: Column) -> Column:
+        return F.when(role == "user", " [/INST]").when(role == "assistant", "</s>").otherwise("<</SYS>>")
+
+    def part(t: Column, i: Column) -> Column:
+        """A turn opens a block unless the turn before has its role, and closes it unless the next one has: linear in the turns."""
+        joins, goes_on = turn(i - 1).eqNullSafe(t["role"]), turn(i + 1).eqNullSafe(t["role"])
+        return F.concat(F.when(joins, "<|next|>").otherwise(opened(t["role"])), escaped(t["text"]), F.when(goes_on, "").otherwise(closed(t["role"])))
+
+    return turns.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(sorted_turns.alias("turns")).select("conv_id", F.array_join(F.transform("turns", part), "").alias("formatted"))
 
 
 def read_back(formatted: Column) -> Column:
