@@ -37,7 +37,7 @@ def test_reader_finds_damage():
     record = warc.record_bytes("response", 1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None)
     good = warc.member(record) * 2
     blocks = lambda data, n=7: (data[i : i + n] for i in range(0, len(data), n))
-    assert [p for _, p in warc.records(blocks(good))] == [b"abc", b"abc"]
+    assert [p for _, p, _ in warc.records(blocks(good))] == [b"abc", b"abc"]
     assert list(warc.records(iter([]))) == []
     with pytest.raises(warc.WarcError):
         list(warc.records(blocks(good[:-5])))
@@ -47,3 +47,35 @@ def test_reader_finds_damage():
         list(warc.records(blocks(warc.member(record[:-6]))))
     with pytest.raises(warc.WarcError):
         list(warc.records(blocks(b"no archive at all")))
+    with pytest.raises(warc.WarcError):
+        list(warc.records(blocks(warc.member(record + b"more"))))
+    with pytest.raises(warc.WarcError):
+        list(warc.records(blocks(warc.member(b"WARC/1.1\r\nContent-Length: x\r\n\r\n"))))
+
+
+def test_reader_takes_no_more_than_it_needs(monkeypatch):
+    """A member that inflates to far more than its record says is refused before it is inflated whole."""
+    monkeypatch.setattr(warc, "BLOCK", 1000)
+    bomb = warc.member(warc.record_bytes("response", 1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None) + b"0" * 50_000_000)
+    stream = warc._Members(iter([bomb]))
+    assert stream.begin()
+    with pytest.raises(warc.WarcError):
+        warc.framed(stream)
+    assert len(stream.held) < 10_000
+    with pytest.raises(warc.WarcError):
+        list(warc.records(iter([warc.member(b"WARC/1.1\r\n" + b"x" * 3_000_000)])))
+
+
+def test_many_blocks_and_revisits():
+    page = b"z" * 5000
+    digest = hashlib.sha256(page).hexdigest()
+    raw = b"".join(warc.member(warc.record_bytes(kind, i, "u", page, digest, None if kind == "response" else 0)) for i, kind in enumerate(["response", "revisit", "revisit"]))
+    for n in (1, 13, 4096, len(raw)):
+        got = list(warc.records(raw[i : i + n] for i in range(0, len(raw), n)))
+        assert [(len(p), size) for _, p, size in got] == [(5000, 5000), (0, 5000), (0, 5000)]
+
+
+def test_long_payload(spark):
+    html = "<p>" + "lang und länger " * 1_500_000
+    got = warc.archive_report(spark.createDataFrame([(1, "u", html), (2, "u", html)], "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.payload_bytes, r.record_type) for r in got} == {(1, len(html.encode()), "response"), (2, len(html.encode()), "revisit")}

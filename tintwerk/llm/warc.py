@@ -1,8 +1,8 @@
 """WARC archives: a writer with payload deduplication, and a sequential reader.
 
-Every record is one gzip member. The reader takes an archive front to back: it inflates one member at a time through
-an incremental decompressor fed with blocks of the file, frames the record by its Content-Length, and checks the block
-and payload digests. A torn or altered record raises ``WarcError``.
+Every record is one gzip member. The reader takes an archive front to back: it inflates a member piece by piece through
+an incremental decompressor fed with blocks of the file, reads the header, then exactly as many bytes as its Content-Length says,
+and checks the block and payload digests. A torn or altered record raises ``WarcError``.
 
 Archives are opened through ``pyarrow.fs`` from the URI of the shared folder, so the same code works on a local, an
 HDFS or an object store. A writing task names its files by itself and an attempt's random suffix; only those in the
@@ -29,6 +29,7 @@ from tintwerk.llm._work import new_folder, written
 LEAST_REVISIT = 100
 ARCHIVE_BYTES = 1 << 30
 BLOCK = 1 << 20
+HEADER = 1 << 20  # bytes that a record's header may have
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -64,55 +65,101 @@ def member(data: bytes, level: int = 4) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(blocks: Iterator[bytes]) -> Iterator[bytes]:
-    """The inflated gzip members of a stream of blocks, one at a time."""
-    z, parts, rest = zlib.decompressobj(31), [], b""
-    fresh = True
-    for block in blocks:
-        rest = block
-        while rest:
-            fresh = False
+class _Members:
+    """The gzip members of a stream of blocks, inflated piece by piece, one member after another."""
+
+    def __init__(self, blocks: Iterator[bytes]):
+        self.blocks, self.rest = blocks, b""
+        self.z, self.held = None, bytearray()
+
+    def begin(self) -> bool:
+        """Goes to the next member; False at the end of the stream."""
+        while not self.rest:
+            if (block := next(self.blocks, None)) is None:
+                return False
+            self.rest = block
+        self.z = zlib.decompressobj(31)
+        return True
+
+    def _more(self) -> bool:
+        """Inflates up to ``BLOCK`` bytes more; False at the member's end."""
+        while not self.z.eof:
             try:
-                parts.append(z.decompress(rest))
+                out = self.z.decompress(self.rest, BLOCK)
             except zlib.error as e:
                 raise WarcError(f"not a gzip member: {e}") from e
-            rest = z.unused_data
-            if z.eof:
-                yield b"".join(parts)
-                z, parts, fresh = zlib.decompressobj(31), [], True
-            else:
-                break
-    if not fresh:
-        raise WarcError("the archive ends within a member")
-
-
-def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and block of one record; checks frame and block digest."""
-    head, mark, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    if not mark or not lines[0].startswith("WARC/"):
+            self.rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            if out:
+                self.held += out
+                return True
+            if not self.z.eof and not self.rest:
+                if (block := next(self.blocks, None)) is None:
+                    raise WarcError("the archive ends within a member")
+                self.rest = block
+        return False
+
+    def until(self, mark: bytes) -> bytes:
+        """What stands before ``mark``, which goes too."""
+        seen = 0
+        while (at := self.held.find(mark, seen)) < 0:
+            seen = max(0, len(self.held) - len(mark) + 1)
+            if len(self.held) > HEADER or not self._more():
+                raise WarcError("no WARC header")
+        out = bytes(self.held[:at])
+        del self.held[: at + len(mark)]
+        return out
+
+    def exactly(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self._more():
+                raise WarcError("the record is shorter than its Content-Length says")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+    def end(self) -> None:
+        if self.held or self._more():
+            raise WarcError("the record is longer than its Content-Length says")
+
+
+def framed(member: _Members) -> tuple[dict[str, str], bytes]:
+    """Header fields (lower-case names) and block of a member's record: the header first, then as many bytes as it says."""
+    lines = member.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
         raise WarcError("no WARC header")
     fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     try:
         n = int(fields["content-length"])
     except (KeyError, ValueError) as e:
         raise WarcError("no Content-Length") from e
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise WarcError("the record is not as long as its Content-Length says")
-    block = rest[:n]
+    block = member.exactly(n)
+    if member.exactly(4) != b"\r\n\r\n":
+        raise WarcError("the record doesn't end where its Content-Length says")
+    member.end()
     if (want := fields.get("warc-block-digest")) and want != "sha256:" + hashlib.sha256(block).hexdigest():
         raise WarcError(f"block digest of {fields.get('warc-record-id')}")
     return fields, block
 
 
-def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, payload) of each record; a response's payload digest is checked."""
-    for data in members(blocks):
-        fields, block = parsed(data)
-        payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+def payload_length(block: bytes) -> int | None:
+    """The Content-Length of an HTTP header: a revisit has it for the payload that it leaves out."""
+    for line in block.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        if name.strip().lower() == b"content-length" and value.strip().isdigit():
+            return int(value)
+    return None
+
+
+def records(blocks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, int | None]]:
+    """(header fields, payload, length of the full payload) of each record; a response's payload digest is checked."""
+    member = _Members(blocks)
+    while member.begin():
+        fields, block = framed(member)
+        http = fields.get("content-type", "").startswith("application/http")
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
         if fields.get("warc-type") == "response" and fields.get("warc-payload-digest") != "sha256:" + hashlib.sha256(payload).hexdigest():
             raise WarcError(f"payload digest of {fields.get('warc-record-id')}")
-        yield fields, payload
+        yield fields, payload, payload_length(block) if http and fields.get("warc-type") == "revisit" else len(payload)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -124,7 +171,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     first = rows.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # As a table of its own: a join straight on an aggregate can't have its hot keys split.
     first = written(first, "first-copies")
-    rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    # Pages are dealt by digest whatever the size of the other side, so what runs on small tables is what runs on large ones.
+    rows = rows.join(first.hint("merge"), "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -153,7 +201,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row per record of the archives in ``manifest.path``: ids, digest, type and length (null for a revisit)."""
+    """A row per record of the archives in ``manifest.path``: ids, digest, type and length of the full payload."""
     spark = manifest.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +222,10 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         for b in batches:
             for path, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 found, n, held = [], 0, 0
-                for fields, payload in records(blocks(path)):
+                for fields, payload, length in records(blocks(path)):
                     kind = fields.get("warc-type", "")
                     number = lambda k: int(fields[k]) if k in fields else None  # noqa: B023, E731
-                    found.append((number("x-page-id"), fields.get("warc-target-uri"), len(payload) if kind == "response" else None, fields.get("warc-payload-digest", "").removeprefix("sha256:"), kind, number("x-refers-to-page-id"), *[payload] * with_payload))
+                    found.append((number("x-page-id"), fields.get("warc-target-uri"), length, fields.get("warc-payload-digest", "").removeprefix("sha256:"), kind, number("x-refers-to-page-id"), *[payload] * with_payload))
                     n, held = n + 1, held + with_payload * len(payload)
                     if len(found) >= 4096 or held > 16 << 20:
                         yield batch(found)
@@ -193,14 +241,6 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Writes and reads back; revisits get the length of the response that they refer to, whose digest must be theirs."""
-    back = written(read_archives(write_archives(pages)).drop("url"), "warc-records")
-    used = back.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
-    responses = back.where("record_type = 'response'").join(used, "page_id", "left_semi").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
-    return back.join(responses, ["refers_to", "payload_digest"], "left").select(
-        "page_id",
-        F.coalesce("payload_bytes", "full").alias("payload_bytes"),
-        "payload_digest",
-        "record_type",
-        "refers_to",
-    )
+    """Writes and reads back: everything in the report comes from the records."""
+    back = read_archives(write_archives(pages))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
