@@ -1,4 +1,5 @@
 import random
+import re
 
 from tintwerk.llm import decontamination as dc
 
@@ -35,9 +36,9 @@ def test_matches_equal_brute_force(spark):
     r = random.Random(9)
     words = ["".join(r.choice("aeinrstüé") for _ in range(r.randrange(1, 8))) for _ in range(60)]
     say = lambda n: " ".join(r.choice(words) for _ in range(n))
-    items = [(i, say(r.randrange(12, 30)).capitalize()) for i in range(12)] + [(90, None), (91, "kurz"), (92, ""), (93, None)]
+    items = [(i, say(r.randrange(12, 30)).capitalize()) for i in range(12)] + [(90, None), (91, "kurz"), (92, ""), (93, None), (95, "Was ist 2+2?"), (96, " \n")]
     items.append((94, items[0][1]))
-    docs = [(0, None), (1, ""), (2, say(40))]
+    docs = [(0, None), (1, ""), (2, say(40)), (100, "zu kurz."), (101, "kurzer kurz1 verkurz"), (102, "Frage: was  ist 2+2? Vier."), (103, "was ist 2+2?"), (104, "etwas ist 2+2?")]
     for d in range(3, 80):
         i, text = items[r.randrange(12)]
         docs.append((d, say(r.randrange(30)) + r.choice([" ", "\n", "  "]) + edited(r, text.upper() if d % 3 else text, r.randrange(0, 14)) + " " + say(r.randrange(30))))
@@ -46,7 +47,12 @@ def test_matches_equal_brute_force(spark):
     for d, t in docs:
         for i, x in items:
             n = dc.normalised(x or "")
-            if t and len(n) >= dc.LEAST and (e := least_distance(n, dc.normalised(t))) <= dc.budget(len(n)):
+            if not t or not n:
+                continue
+            if len(n) < dc.LEAST:
+                if re.search(r"(?<![^\W_])" + re.escape(n) + r"(?![^\W_])", dc.normalised(t)):
+                    want.add((d, i, 0))
+            elif (e := least_distance(n, dc.normalised(t))) <= dc.budget(len(n)):
                 want.add((d, i, e))
     schema = "doc_id long, text string, item_id string, end int"
     table = spark.createDataFrame([(*d, "x", None) for d in docs], schema)
@@ -57,3 +63,10 @@ def test_matches_equal_brute_force(spark):
     assert kept.columns == table.columns and {x.doc_id for x in kept.collect()} == {d for d, t in docs if d not in dirty} | {2}
     assert dc.matches(table, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert dc.matches(spark.createDataFrame([], schema), spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_long_text(spark):
+    item = "eine längere frage nach dem sinn des lebens und allem anderen?"
+    docs = [(1, "lang " * 300_000 + item.replace("sinn", "sin") + " lang" * 300_000), (2, "lang " * 300_000)]
+    found = dc.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id, x.distance) for x in found] == [(1, 7, 1)]

@@ -2,15 +2,15 @@
 
 Texts are normalised (Unicode lower case, white space runs as one blank). A test item of n characters may differ from a passage in
 ``budget(n)`` edits; cut into one piece more than that, it leaves at least one piece untouched, so a passage within the
-budget has an exact piece hit. An Aho-Corasick automaton over the pieces of a block of items finds the hits in one pass
+budget has an exact piece hit. An item of fewer than ``LEAST`` characters would match by chance within other words, so its budget is 0
+and it counts only between the edges of words: exact copies of short items are found, too. An Aho-Corasick automaton over the pieces of a block of items finds the hits in one pass
 over each whole text; each hit fixes where the item can lie, and overlapping places are merged and verified by Myers'
 bit-parallel edit distance, with the item as one big integer.
 
 The items are the stated query set: they are read in blocks of ``BLOCK_CHARS`` characters, each block is shipped with the
 task closure, and the documents are scanned once for each block, without a shuffle.
 
-Defined cases: a null or empty text has no hit; an item that is null or shorter than ``LEAST`` normalised characters is not
-looked for (it would match by chance); equal items each have their own hits; repeated documents each have theirs; extra
+Defined cases: a null or empty text has no hit; an item that is null, empty or white space is not looked for; equal items each have their own hits; repeated documents each have theirs; extra
 columns are ignored; an empty table of documents or items gives no hit.
 """
 
@@ -28,7 +28,7 @@ BLOCK_CHARS = 4 << 20
 
 
 def budget(n: int, share: float = SHARE) -> int:
-    return int(n * share)
+    return int(n * share) if n >= LEAST else 0
 
 
 def normalised(text: str) -> str:
@@ -79,7 +79,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, held = [], 0
     for r in items.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
         text = normalised(r.text)
-        if len(text) < LEAST:
+        if not text:
             continue
         block.append((r.item_id, text))
         held += len(text)
@@ -114,7 +114,10 @@ class Searcher:
             for k, upto in found:
                 start = end + 1 - upto
                 e = self.edits[k]
-                places.setdefault(k, []).append((start - e, start + len(self.items[k][1]) + e))
+                n = len(self.items[k][1])
+                if n < LEAST and (text[start - 1 : start].isalnum() and start > 0 or text[start + n : start + n + 1].isalnum()):
+                    continue
+                places.setdefault(k, []).append((start - e, start + n + e))
         for k, spans in places.items():
             spans.sort()
             best = None
