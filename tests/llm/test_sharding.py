@@ -46,5 +46,12 @@ def test_edges(spark):
     assert sharding.shard_documents(spark.createDataFrame([], schema)).count() == 0
     got = sharding.shard_documents(spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "a", 1)], schema), 2).collect()
     check([1, 1, 1], got, 2)
-    with pytest.raises(ValueError):
-        sharding.shard_documents(spark.createDataFrame([], schema), carry=["size"])
+    odd = spark.createDataFrame([(1, "a", 5, "x", 3, 9), (2, "b", None, None, None, None)], "doc_id long, text string, size int, Shard string, slot int, carried_slot int")
+    got = sharding.shard_documents(odd, 2, carry=["text", "size", "Shard", "slot", "carried_slot"])
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "carried_size", "carried_Shard", "carried_carried_slot", "carried_slot"]
+    assert {(r.doc_id, r.size, r.carried_size, r.carried_Shard, r.carried_carried_slot, r.carried_slot) for r in got.collect()} == {(1, 9, 5, "x", 3, 9), (2, 9, None, None, None, None)}
+
+
+def test_long_texts(spark):
+    rows = [(i, "lang " * 300_000 if i == 5 else f"kurz {i}") for i in range(40)]
+    check(rows, sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect(), 4)

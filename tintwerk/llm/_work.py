@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -40,6 +41,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def constant(values: list, kind: str) -> Column:
+    """A literal array of long lists of plain values, read from one JSON text: an expression for each value would take the driver seconds."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def searched(key: Column, bounds: Column, n: int) -> Column:
     """How many of the ``n`` ascending ``bounds`` are <= ``key``: a binary search in one expression."""
     steps, step = [], 1

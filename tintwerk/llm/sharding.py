@@ -10,7 +10,8 @@ number of bytes, up to one record.
 Bounded on the driver: ``MOST_RANGES`` splitters and range totals, whatever the input's size.
 
 Defined cases: a null text has size 8 and sorts first; a null doc_id sorts first among equal texts; repeated rows
-are separate records; an empty table gives no row; columns named in ``carry`` travel with their record.
+are separate records; an empty table gives no row; columns named in ``carry`` travel with their record, under another name
+where the result has one of that name (``carried_names``).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tintwerk.llm._work import searched, written
+from tintwerk.llm._work import constant, searched, written
 
 SAMPLES_PER_RANGE = 24
 MOST_RANGES = 4096
@@ -34,12 +35,12 @@ def sized(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         key.alias("key"),
-        F.struct(*[F.col(c) for c in carry]).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
+        F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried") if carry else F.lit(None).cast("int").alias("carried"),
     )
 
 
 def _literal(keys: list) -> Column:
-    return F.array(*[F.struct(F.lit(k[0]).cast("long").alias("h"), F.lit(k[1]).cast("long").alias("d")) for k in keys])
+    return constant([{"h": k[0], "d": k[1]} for k in keys], "struct<h:bigint,d:bigint>")
 
 
 def _sampled(rows: DataFrame, share: Column, salt: int) -> DataFrame:
@@ -78,10 +79,21 @@ def splitters(rows: DataFrame, n_ranges: int, total: int, largest: int) -> list:
     return sorted({*first, *(k for r, keys in more.items() for k in _quantiles(keys, overfull[r]))})
 
 
+def carried_names(carry: list[str]) -> list[str]:
+    """Names of the carried columns in the result: one that a column of the result has gets ``carried_`` before it, as often as needed."""
+    taken, out = {"doc_id", "size", "text_crc32", "shard", "slot"}, []
+    for c in carry:
+        name = c
+        while name.lower() in taken or name != c and name in carry:
+            name = "carried_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 24, carry: list[str] = (), ranges_per_shard: int = 16) -> DataFrame:
     """``doc_id, size, text_crc32, shard, slot`` of each row, and the columns in ``carry``."""
-    if clash := {"doc_id", "size", "text_crc32", "shard", "slot"} & set(carry):
-        raise ValueError(f"carried columns can't be named {sorted(clash)}")
+    names = carried_names(carry)
     rows = written(sized(docs, carry), "sized")
     whole = rows.agg(F.sum("size").alias("b"), F.max("size").alias("m")).first()
     total = int(whole.b or 0)
@@ -96,7 +108,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, carry: list[str] = (),
         b += totals[r][0]
     if not totals:
         before = {0: 0}
-    starts = F.element_at(F.array(*[F.lit(before.get(r, 0)).cast("long") for r in range(max(before) + 1)]), F.col("range") + 1)
+    starts = F.element_at(constant([before.get(r, 0) for r in range(max(before) + 1)], "bigint"), F.col("range") + 1)
     inside = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     # The middle of a record decides, so that a record over a boundary goes where most of it lies.
     middle = starts + F.col("inside") - F.col("size") / 2
@@ -110,4 +122,4 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, carry: list[str] = (),
         seen[s] = seen.get(s, 0) + n
     offsets = docs.sparkSession.createDataFrame(base, "range int, shard int, base long")
     placed = placed.join(F.broadcast(offsets), ["range", "shard"])  # at most a row for each range and each shard
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("nth")).cast("long").alias("slot"), *[F.col(f"carried.{c}").alias(c) for c in carry])
+    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("nth")).cast("long").alias("slot"), *[F.col("carried")[f"c{i}"].alias(n) for i, n in enumerate(names)])
