@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintwerk.llm import _bytes as by
-from tintwerk.llm._work import searched
+from tintwerk.llm._work import constant, searched
 
 PIECE = 160
 HASHES = 3
@@ -182,7 +182,7 @@ def _with_next(docs: DataFrame, rows_per_range: int) -> DataFrame:
         share = min(1.0, 40 * n_ranges / n)
         drawn = sorted({(r.d, 0) for r in docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d")).where(F.pmod(F.xxhash64("d"), F.lit(1 << 30)) < int(share * (1 << 30))).collect()})
         cuts = sorted({drawn[len(drawn) * i // n_ranges][0] for i in range(1, n_ranges) if drawn})
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array(F.lit(0).cast("long"))
+    bounds = constant(cuts, "bigint")
     rows = rows.withColumn("range", searched(F.col("key.d"), bounds, len(cuts)))
     firsts = sorted((r["range"], tuple(r.k)) for r in rows.groupBy("range").agg(F.min("key").alias("k")).collect())
     if not firsts:
