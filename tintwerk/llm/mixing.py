@@ -9,9 +9,10 @@ A document's rate says how many times it should stand in the mixture. The rates
 
     |M^-1/2 (sum_i r_i t_i p_i - T)|^2     (t: tokens, p: posterior, T: target tokens of each domain)
 
-by projected gradient from r = 1, preconditioned by M = sum_i t_i p_i p_i^T and 1/t_i. Every step is one aggregate of K sums
-over all documents: a document's rate is a fold over the K-vectors of the steps so far, so nothing but these is kept.
+by projected gradient from r = 1, preconditioned by M = sum_i t_i p_i p_i^T and 1/t_i. Every step is one aggregate of some K^2 sums
+over all documents (more where it has to be halved): a document's rate is a fold over the K-vectors of the steps so far, so nothing but these is kept.
 With a ``floor`` above 0 no rate falls below it: at 1 every document stays and the mixture is reached by copies alone.
+A target that no rates reach (soft domains, or a floor) leaves a shortfall, which the report of ``mix`` states.
 The tokens of a long document weigh more, its rate doesn't. Documents of the same posterior have the same rate.
 
 Defined cases: null and empty texts have 0 tokens, the labelled rows' shares as posterior and a rate like others; a domain
@@ -36,7 +37,7 @@ from tintwerk.llm._work import written
 SAMPLE = 8_000
 BUCKETS = 4096
 EVIDENCE = 8.0
-STEPS = 12
+STEPS = 100
 ENOUGH = 1e-4
 
 
@@ -113,29 +114,48 @@ def rate_of(posterior: Column, steps: list[np.ndarray], floor: float = 0.0) -> C
 
 
 def fit(members: DataFrame, target: np.ndarray, floor: float = 0.0, most: int = STEPS, enough: float = ENOUGH) -> tuple[list[np.ndarray], np.ndarray]:
-    """The steps of the projected gradient and the domain tokens they reach. ``target``: tokens of each domain."""
+    """The steps of the projected gradient and the domain tokens they reach. ``target``: tokens of each domain.
+
+    A step is preconditioned by the documents that aren't held at the floor; one that doesn't come nearer is halved. It ends where the target is
+    reached (``enough``, as a share) or no step comes nearer any more: then the tokens reached are the nearest there are. An end
+    before that, after ``most`` aggregates, raises.
+    """
     k = len(target)
     p = [F.col("posterior")[i] for i in range(k)]
     t = F.col("n_tokens").cast("double")
-    first = members.agg(*[F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
-    m = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i + 1):
-            m[i, j] = m[j, i] = first[f"m{i}_{j}"] or 0.0
+    pairs = [(i, j) for i in range(k) for j in range(i + 1)]
+
+    def measured(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each domain, and M over the documents above the floor (all, before the first step)."""
+        free = F.when(F.col("r") > floor, t).otherwise(0.0) if steps else t
+        rows = members.select("n_tokens", "posterior", rate_of(F.col("posterior"), steps, floor).alias("r"))
+        row = rows.agg(*[F.sum(F.col("r") * t * p[i]).alias(f"s{i}") for i in range(k)], *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        m = np.zeros((k, k))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = row[f"m{i}_{j}"] or 0.0
+        return np.array([row[f"s{i}"] or 0.0 for i in range(k)]), m
+
     scale = max(float(target.sum()), 1.0)
-    inverse = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
-    best: tuple[float, int, np.ndarray] | None = None
-    for _ in range(most + 1):
-        row = members.select("n_tokens", "posterior", rate_of(F.col("posterior"), steps, floor).alias("r")).agg(*[F.sum(F.col("r") * t * p[i]).alias(f"s{i}") for i in range(k)]).first()
-        sums = np.array([row[f"s{i}"] or 0.0 for i in range(k)])
-        off = float(np.abs(sums - target).sum()) / scale
-        if best is None or off < best[0]:
-            best = off, len(steps), sums
-        if off <= enough:
-            break
-        steps.append(inverse @ (sums - target))
-    return steps[: best[1]], best[2]
+    sums, m = measured(steps)
+    whole = np.linalg.pinv(m, rcond=1e-9, hermitian=True)
+    far = lambda s: float((s - target) @ whole @ (s - target))
+    slow = 0
+    for _ in range(most):
+        if np.abs(sums - target).sum() <= enough * scale or slow == 3:
+            return steps, sums
+        step = np.linalg.pinv(m, rcond=1e-9, hermitian=True) @ (sums - target)
+        if slow == 2 or not np.abs(step).sum():  # a last try in the plain direction
+            step = whole @ (sums - target)
+        for _ in range(6):
+            new, m_new = measured([*steps, step])
+            if far(new) < far(sums):
+                break
+            step = step / 2
+        slow = slow + 1 if far(new) > (1 - 1e-3) * far(sums) else 0
+        if far(new) < far(sums):
+            steps, sums, m = [*steps, step], new, m_new
+    raise RuntimeError(f"rates not found in {most} steps: {sums} of {target}")
 
 
 def targets(weights: dict[str, float], names: list[str], tokens: np.ndarray, total: float | None = None) -> np.ndarray:

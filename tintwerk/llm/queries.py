@@ -47,9 +47,11 @@ def mixing_domains(docs: DataFrame, labels: DataFrame) -> mixing.Domains:
 def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     domains = mixing_domains(docs, table(spark, sf_dir, "labels"))
-    rates, _ = mixing.mix(docs, domains, MIXTURE)
-    likeliest = F.element_at(F.array(*[F.lit(n) for n in domains.names]), F.array_position("posterior", F.array_max("posterior")).cast("int"))
-    return rates.select("doc_id", "n_tokens", likeliest.alias("domain"), F.array_max("posterior").alias("membership"), "rate")
+    rates, report = mixing.mix(docs, domains, MIXTURE)
+    place = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    of_domain = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), place)
+    target, reached = ([report[n][i] for n in domains.names] for i in range(2))
+    return rates.select("doc_id", "n_tokens", of_domain(domains.names).alias("domain"), F.array_max("posterior").alias("membership"), "rate", of_domain(target).alias("domain_target"), of_domain(reached).alias("domain_reached"))
 
 
 def op8_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
