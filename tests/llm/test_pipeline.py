@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_decontamination import least_distance
 from tests.llm.test_near_dedup import shingle_set
@@ -53,3 +55,40 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert {x.shard for x in new} <= set(range(24))
         before = after
     assert {(x.doc_id, x.text, x.shard, x.slot) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {(x.doc_id, x.text, x.shard, x.slot) for x in new}
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string, component_id long, score double, rate double, item_id long"
+
+
+def odd_rows():
+    good, copy = "Ein ganz gewöhnlicher Satz über das Wetter von heute. " * 6, "Noch ein anderer Satz, der zweimal vorkommt und bleibt. " * 6
+    own = (None, None, 0, 1, "s", 5, 0.5, 1.5, 7)
+    rows = [(1, good), (2, None), (3, ""), (4, " \n\t"), (5, copy), (5, copy), (6, copy), (None, copy), (None, None), (7, "wort " * 400_000), (8, good + "Ende."), (9, "z")]
+    return [(*r, *own) for r in rows]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_in_every_stage(spark, tmp_path, name):
+    """Nulls, empty and very long texts, repeated rows, ties, clashing columns and empty tables."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(1, 1, 0), (8, 1, 0), (9, 0, 0), (9, 0, 0), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "nirgends zu finden " * 5)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = odd_rows()
+    docs = spark.createDataFrame(rows, ODD).repartition(3)
+    out = stage(spark, docs, str(tmp_path))
+    got = out.collect()
+    ids = sorted((r.doc_id for r in got), key=str)
+    if name == "sharding":
+        assert {"carried_size", "carried_shard", "size", "shard", "slot", "score"} <= set(out.columns)
+    else:
+        assert out.columns == docs.columns
+    if name == "near_dedup":
+        # 5 stays as one row; 8 holds all of 1 and little more; null ids and texts without words stay.
+        assert ids == sorted([1, 2, 3, 4, 5, 7, 9, None, None], key=str)
+    elif name == "quality":
+        assert set(ids) <= {r[0] for r in rows}
+    elif name == "mixing":
+        assert set(ids) == {r[0] for r in rows} and len(ids) >= len(rows)
+    else:
+        assert ids == sorted((r[0] for r in rows), key=str)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
