@@ -1,4 +1,4 @@
-"""Where a pattern matches: Spark gives all matches and all gaps, so the offsets are running sums over both."""
+"""Where a pattern matches, as code point offsets, in column expressions."""
 
 from __future__ import annotations
 
@@ -8,25 +8,30 @@ from pyspark.sql import functions as F
 BIG = 1 << 30
 
 
+# Two noncharacters, which stand in no text (and are replaced if they do): around a match, and before each of its groups.
+_AROUND, _GROUP = "\uFDD0", "\uFDD1"
+
+
 def located(text: Column, pattern: str, groups: int = 0) -> Column:
     """``array<struct<s, e, m, g1, ...>>`` of the matches of ``pattern``: code point offsets, text and groups ("" if not part).
 
-    The pattern must not match the empty string.
+    The pattern must not match the empty string. It runs once over the text: each match is put between marks, together with its groups,
+    so that a split gives gaps and matches in turn, and the offsets are running sums over both.
     """
-    every = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(groups + 1)]
+    marks = _AROUND + _GROUP
+    clean = F.when(F.contains(text, F.lit(_AROUND)) | F.contains(text, F.lit(_GROUP)), F.translate(text, marks, "\uFFFD" * 2)).otherwise(text)
+    shown = _AROUND + "$0" + "".join(f"{_GROUP}${i}" for i in range(1, groups + 1)) + _AROUND
+    pieces = F.transform(F.split(F.regexp_replace(clean, pattern, shown), _AROUND, -1), lambda p: F.split(p, _GROUP, -1))
     names = ["m", *(f"g{i}" for i in range(1, groups + 1))]
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    zipped = F.arrays_zip(*[a.alias(n) for a, n in zip([*every, gaps], [*names, "gap"], strict=True)])
     fields = ", ".join(f"{n}: string" for n in names)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<s: int, e: int, {fields}>>").alias("out"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), F.array().cast(f"array<struct<s: int, e: int, {fields}>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.array_append(a["out"], F.struct(s.alias("s"), e.alias("e"), *[x[n].alias(n) for n in names])).alias("out"))
+    def step(a: Column, p: Column) -> Column:
+        end = a["at"] + F.length(p[0])
+        found = F.struct(a["at"].alias("s"), end.alias("e"), *[p[i].alias(n) for i, n in enumerate(names)])
+        return F.struct(end.alias("at"), (~a["match"]).alias("match"), F.when(a["match"], F.array_append(a["out"], found)).otherwise(a["out"]).alias("out"))
 
-    # The last gap follows the last match and has none of its own.
-    return F.aggregate(F.filter(zipped, lambda x: x["m"].isNotNull()), empty, step, lambda a: a["out"])
+    return F.aggregate(pieces, empty, step, lambda a: a["out"])
 
 
 def hit(s: Column, e: Column, label: Column | str, category: str) -> Column:

@@ -1,7 +1,10 @@
-"""Pages and words: text, offsets, segments and rectangles as column expressions and windows."""
+"""Pages and words: text, offsets, segments and rectangles as column expressions, windows and vectorised Arrow passes."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,43 +13,69 @@ from tintwerk import enums
 from tintwerk.schemas import WORD
 
 
-def page_words(text: Column, char_width: float = 6.0, line_height: float = 14.0) -> Column:
-    """``array<word>`` of plain text with synthetic geometry: a line for each line, fixed character widths, from (50, 50)."""
-    empty = F.struct(F.lit(50.0).alias("x"), F.array().cast(f"array<{WORD}>").alias("out"))
+def _counted(n: np.ndarray) -> np.ndarray:
+    """0..c-1 for each count c, one after another."""
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
 
-    def line_words(line: Column, n: Column) -> Column:
-        y = 50.0 + line_height * n
 
-        def step(a: Column, w: Column) -> Column:
-            end = a["x"] + char_width * F.length(w)
-            word = F.struct(w.alias("text"), n.cast("int").alias("line"), a["x"].alias("x0"), y.alias("y0"), end.alias("x1"), (y + 10.0).alias("y1"))
-            return F.struct((end + char_width).alias("x"), F.array_append(a["out"], word).alias("out"))
+def _list_of(counts: np.ndarray, fields: dict[str, pa.Array | np.ndarray], mask: pa.Array | None = None) -> pa.Array:
+    values = pa.StructArray.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values, mask=mask)
 
-        return F.aggregate(F.filter(F.split(line, r"\s+"), lambda w: w != ""), empty, step, lambda a: a["out"])
 
-    return F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), line_words))
+def _whole(x: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
-def page_text(words: Column) -> Column:
-    """Words joined by a blank within a line, by a line break between lines."""
-    none = F.struct(F.lit(None).cast("int").alias("line"), F.array().cast("array<string>").alias("out"))
+def page_words(text: Column, char_width: float = 6.0, line_height: float = 14.0) -> Column:
+    """``array<word>`` of plain text with synthetic geometry: a line for each line, fixed character widths, from (50, 50).
+
+    One vectorised pass over the Arrow batch: places are running sums over a page, which column expressions could only build by copying.
+    """
+
+    def run(text: pa.Array) -> pa.Array:
+        text = pc.fill_null(text, "")
+        lines = pc.split_pattern(text, "\n")
+        per_page = np.asarray(pc.list_value_length(lines))
+        parts = pc.split_pattern_regex(_whole(pc.list_flatten(lines)), r"[\t\n\x0b\f\r ]+")
+        per_line = np.asarray(pc.list_value_length(parts))
+        word = _whole(pc.list_flatten(parts))
+        size = np.asarray(pc.utf8_length(word))
+        some = np.flatnonzero(size > 0)
+        word, size, line = word.take(pa.array(some)), size[some].astype(np.int64), np.repeat(np.arange(len(per_line)), per_line)[some]
+        at = np.cumsum(size + 1) - size - 1
+        first = np.ones(len(line), bool)
+        first[1:] = line[1:] != line[:-1]
+        x0 = 50.0 + char_width * (at - np.maximum.accumulate(np.where(first, at, 0)))
+        number = _counted(per_page)[line]
+        y0 = 50.0 + line_height * number
+        counts = np.bincount(np.repeat(np.arange(len(per_page)), per_page)[line], minlength=len(per_page))
+        return _list_of(counts, {"text": word, "line": number.astype(np.int32), "x0": x0, "y0": y0, "x1": x0 + char_width * size, "y1": y0 + 10.0})
+
+    return F.arrow_udf(run, f"array<{WORD}>")(text)
 
-    def step(a: Column, w: Column) -> Column:
-        mark = F.when(a["line"].isNull(), "").when(a["line"] == w["line"], " ").otherwise("\n")
-        return F.struct(w["line"].alias("line"), F.array_append(a["out"], F.concat(mark, w["text"])).alias("out"))
 
-    return F.aggregate(F.coalesce(words, F.array().cast(f"array<{WORD}>")), none, step, lambda a: F.array_join(a["out"], ""))
+def page_text(words: Column) -> Column:
+    """Words joined by a blank within a line, by a line break between lines; linear in the words."""
+    before = lambda i: F.get(words, i - 1)["line"]
+    mark = lambda w, i: F.when(i == 0, "").when(before(i).eqNullSafe(w["line"]), " ").otherwise("\n")
+    return F.coalesce(F.array_join(F.transform(words, lambda w, i: F.concat(mark(w, i), w["text"])), ""), F.lit(""))
 
 
 def word_spans(words: Column) -> Column:
-    """``array<struct<word, s, e>>``: where each word lies in the page's text."""
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:int,s:int,e:int>>").alias("out"))
-
-    def step(a: Column, w: Column) -> Column:
-        end = a["at"] + F.length(w["text"])
-        return F.struct((end + 1).alias("at"), F.array_append(a["out"], F.struct(F.size(a["out"]).alias("word"), a["at"].alias("s"), end.alias("e"))).alias("out"))
-
-    return F.aggregate(words, none, step, lambda a: a["out"])
+    """``array<struct<word, s, e>>``: where each word lies in the page's text; one vectorised pass over the Arrow batch."""
+
+    def run(words: pa.Array) -> pa.Array:
+        counts = np.asarray(pc.fill_null(pc.list_value_length(words), 0)).astype(np.int64)
+        texts = pc.list_flatten(words)
+        size = np.asarray(pc.utf8_length(_whole(pc.struct_field(texts, "text")))).astype(np.int64)
+        at = np.cumsum(size + 1) - size - 1
+        ends = np.cumsum(counts)
+        s = at - np.repeat(np.append(at, 0)[np.minimum(ends - counts, len(at))], counts)
+        return _list_of(counts, {"word": _counted(counts).astype(np.int32), "s": s.astype(np.int32), "e": (s + size).astype(np.int32)}, pc.is_null(words) if words.null_count else None)
+
+    return F.arrow_udf(run, "array<struct<word:int,s:int,e:int>>")(words)
 
 
 def segments_at(spans: Column, s: Column, e: Column) -> Column:

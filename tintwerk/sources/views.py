@@ -43,12 +43,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table of a few splits, dealt over all cores, as the work on its rows is heavy; one of many splits stays as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LETTERS_SQL.replace("FROM customer)", "FROM {customer})"), customer=read(spark, sf_dir, "customer"))
+    return spark.sql(LETTERS_SQL.replace("FROM customer)", "FROM {customer})"), customer=spread(read(spark, sf_dir, "customer")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def pages_of(texts: DataFrame, case_id=None) -> DataFrame:
