@@ -40,7 +40,7 @@ from tintwerk.llm import _bytes as by
 from tintwerk.llm._work import written
 
 WINDOW, K = 400, 128
-BLOCK = 8 << 20  # bytes of contexts indexed at a time
+BLOCK = 4 << 20  # bytes of contexts indexed at a time
 HOT = 4096  # contexts of one anchor that one task indexes
 PIECE = 4 << 20  # bytes of a long text whose windows are read at a time
 KEY = ["k1", "k2"]
@@ -167,7 +167,7 @@ class RunIndex:
                 between = np.stack([start[p[same]] + size[p[same]], start[q[same]] + 1], axis=1).ravel()
                 least = np.minimum.reduceat(np.append(common, 0), between)[::2] + 1
                 up[q[same]], down[p[same]] = least, least
-            self.columns.append((start, size, heads, to, up, down))
+            self.columns.append(tuple(x.astype(np.int32) for x in (start, size, heads, to, up, down)))
             rows = np.flatnonzero(head >= 0)
             run = np.repeat(np.arange(len(start)), size)[rows]
             place = to[run] + rows - start[run]
@@ -260,20 +260,18 @@ def count_windows(pieces: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = by.texts(b.column("raw"))
-            if not len(data):
-                continue
-            before = np.array(b.column("before"))
-            first, second = by.Prefix(data), by.Prefix(data, other=True)
-            # Window starts, as bytes before the anchor: it lies in the context and holds the anchor.
-            n = before - np.maximum(0, window - (np.diff(offsets) - before)) + 1
-            row = np.repeat(np.arange(b.num_rows), n)
-            d = before[row] - by.spread(n)
-            at = offsets[row] + before[row] - d
-            ids = [np.array(b.column(c))[row] for c in CONTEXT]
-            for i in range(0, len(row), 1 << 16):
-                s = slice(i, i + (1 << 16))
-                hashes = [by.mixed(p.hashes(at[s], at[s] + window) + d[s].astype(U)).view(np.int64) for p in (first, second)]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[s]) for x in ids), pa.array(d[s].astype(np.int16)), *(pa.array(h) for h in hashes)], [*CONTEXT, "d", "w1", "w2"])
+            before = np.array(b.column("before"), np.int64)
+            for i, j in by.slices(offsets, 1 << 18):
+                own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                first, second = by.Prefix(own), by.Prefix(own, other=True)
+                # Window starts, as bytes before the anchor: it lies in the context and holds the anchor.
+                left = before[i:j]
+                n = left - np.maximum(0, window - (np.diff(at) - left)) + 1
+                row = np.repeat(np.arange(j - i), n)
+                d = left[row] - by.spread(n)
+                start = at[row] + left[row] - d
+                hashes = [by.mixed(p.hashes(start, start + window) + d.astype(U)).view(np.int64) for p in (first, second)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i).take(pa.array(row)) for c in CONTEXT), pa.array(d.astype(np.int16)), *(pa.array(h) for h in hashes)], [*CONTEXT, "d", "w1", "w2"])
 
     windows = written(pieces.select(*CONTEXT, "raw", "before").mapInArrow(run, "anchor long, c1 long, c2 long, d short, w1 long, w2 long"), "windows")
     again = windows.groupBy("anchor", "w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
