@@ -37,7 +37,7 @@ from tintwerk.llm.components import connected_components
 TREES, DEPTH, DEEP = 24, 5, 8
 LEAF = 128
 UNIT_BYTES = 16 << 20
-BLOCK = 512
+BLOCK = 256
 FIRST = 3
 U = np.uint64
 _rng = np.random.default_rng(11)
