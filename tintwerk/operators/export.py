@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tintwerk.functions.spans import BIG
+from tintwerk.functions.tables import numbered
 from tintwerk.functions.text import collapsed, norm
 
 
@@ -15,6 +16,40 @@ def active(hits: DataFrame) -> DataFrame:
     return hits.where("enabled AND size(rects) > 0")
 
 
+def on_page(hits: DataFrame, page_no: int) -> DataFrame:
+    return hits.where(F.col("page_no") == page_no)
+
+
+# Widths of the printable ASCII characters in Helvetica, in thousandths of its size, from the blank on.
+HELVETICA = [
+    278, 278, 355, 556, 556, 889, 667, 191, 333, 333, 389, 584, 278, 333, 278, 278, 556, 556, 556, 556, 556, 556, 556, 556,
+    556, 556, 278, 278, 584, 584, 584, 556, 1015, 667, 667, 722, 722, 667, 611, 778, 722, 278, 500, 667, 556, 833, 722, 778,
+    667, 778, 722, 667, 611, 722, 667, 944, 667, 667, 611, 278, 278, 278, 469, 556, 333, 556, 556, 500, 556, 556, 278, 556,
+    556, 222, 222, 500, 222, 833, 556, 556, 556, 556, 333, 500, 278, 556, 500, 722, 500, 500, 500, 334, 260, 334, 584,
+]
+LIKE = dict(zip("äöüÄÖÜß", "aouAOUg", strict=True))  # as wide as (ß nearly)
+
+
+def text_width(text: Column) -> Column:
+    """Width of a text in Helvetica of size 1; characters beyond ASCII and the umlauts are taken as wide as a digit."""
+    plain = F.translate(text, "".join(LIKE), "".join(LIKE.values()))
+    widths = F.array(*[F.lit(w) for w in HELVETICA])
+    width = lambda c: F.when(F.ascii(c).between(32, 126), F.element_at(widths, F.greatest(F.lit(1), F.least(F.lit(95), F.ascii(c) - 31)))).otherwise(556)
+    return F.aggregate(F.filter(F.split(plain, ""), lambda c: c != ""), F.lit(0), lambda a, c: a + width(c)) / 1000.0
+
+
+def fitted_label(label: Column, short: Column, width: Column, height: Column) -> Column:
+    """``struct<text, size>``: the label, or its short form where the label would be smaller than 4.5 points; as large as the box allows, 12 at most."""
+    base = F.greatest(F.least(height * 0.72, F.lit(12.0)), F.lit(1.0))
+
+    def size(text: Column) -> Column:
+        full = text_width(text) * base
+        return F.when(full > width - 2, base * F.greatest(width - 2, F.lit(1.0)) / full).otherwise(base)
+
+    # A label without a shorter form stays at its full size where it can't be made to fit.
+    return F.when(size(label) >= 4.5, F.struct(label.alias("text"), size(label).alias("size"))).when(short != label, F.struct(short.alias("text"), size(short).alias("size"))).otherwise(F.struct(label.alias("text"), base.alias("size")))
+
+
 def redacted_text(text: Column, marks: Column) -> Column:
     """``text`` with ``[label]`` in the place of each mark (``array<struct<s, e, label>>``, disjoint, ascending)."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -27,7 +62,8 @@ def redacted_text(text: Column, marks: Column) -> Column:
 
 def redact_pages(pages: DataFrame, hits: DataFrame) -> DataFrame:
     """``doc_id, page_no, redacted, redactions`` of pages (doc_id, page_no, text) under hits (doc_id, page_no, s, e, label, enabled)."""
-    marks = hits.where("enabled").groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("s", "e", "label"))).alias("marks"))
+    hits = active(hits) if "rects" in hits.columns else hits.where("enabled")
+    marks = hits.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("s", "e", "label"))).alias("marks"))
     out = pages.select("doc_id", "page_no", "text").join(marks, ["doc_id", "page_no"], "left")
     none = F.array().cast("array<struct<s:int,e:int,label:string>>")
     out = out.withColumn("marks", F.coalesce("marks", none))
@@ -69,14 +105,8 @@ def unique_targets(targets: DataFrame, order: str = "doc_id") -> DataFrame:
     n, distinct = targets.agg(F.count("*"), F.count_distinct("target")).first()
     if n == distinct:
         return targets
-    parts = targets.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() % (1 << 33)).persist()
-    before, base = 0, {}
-    for r in parts.groupBy("_p").agg(F.count("*").alias("n")).orderBy("_p").collect():  # one row for each partition
-        base[r["_p"]] = before
-        before += r["n"]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("_p"))
-    number = (offset + F.col("_i") + 1).cast("string")
-    return parts.withColumn("target", F.regexp_replace("target", r"(\.pdf)$", F.lit("")).cast("string")).withColumn("target", F.concat("target", F.lit("_"), number, F.lit(".pdf"))).drop("_p", "_i")
+    stem = F.regexp_replace("target", r"(\.pdf)$", F.lit(""))
+    return numbered(targets, order, "_n").withColumn("target", F.concat(stem, F.lit("_"), F.col("_n").cast("string"), F.lit(".pdf"))).drop("_n")
 
 
 def pixel_rect(x0: Column, y0: Column, x1: Column, y1: Column, dpi: int, width: Column, height: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from tintwerk import enums, schemas
 from tintwerk.functions import tokens as tk
+from tintwerk.functions.tables import kept
 from tintwerk.functions.page import Page, as_rows, as_segments
 
 FORMAT = 1
@@ -94,7 +95,7 @@ def reanchor(sessions: DataFrame, pages: DataFrame, documents: DataFrame) -> tup
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    done = rows.mapInArrow(run, ddl).persist()
+    done = kept(rows.mapInArrow(run, ddl))
     counts = done.groupBy("case_id", "path").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("dropped"))
     return done.where("ok").drop("ok", "path"), counts
 
