@@ -320,12 +320,50 @@ def _analysis(spark, sf_dir) -> analysis.Analysis:
     return analysis.analyze(pages, inputs)
 
 
-@query()
+# Each letter mentions one person, and no two names are alike: a case's persons are its distinct names, numbered by first letter. Labels by hand:
+# initials, or the first level of more letters at which all of a group differ, or numbers.
+_PERSONS_SQL = f"""WITH {LETTERS}, m AS (SELECT (doc_id // 20)::VARCHAR AS case_id, doc_id, person FROM letters),
+    n AS (SELECT case_id, person, string_split(person, ' ')[1] AS f, string_split(person, ' ')[2] AS l, row_number() OVER (PARTITION BY case_id ORDER BY min(doc_id)) + 1 AS person_seq FROM m WHERE person <> 'Robin Kinzel' GROUP BY case_id, person),
+    b AS (SELECT *, substr(f, 1, 1) || '.' || substr(l, 1, 1) || '.' AS base FROM n),
+    v AS (SELECT b.*, k, substr(f, 1, x) || '.' || substr(l, 1, y) || '.' AS lab FROM b, (VALUES (1, 1, 2), (2, 2, 1), (3, 2, 2), (4, 1, 3), (5, 3, 1)) AS t(k, x, y)),
+    best AS (SELECT case_id, base, min(k) AS k FROM (SELECT case_id, base, k FROM v GROUP BY ALL HAVING count(DISTINCT lab) = count(*)) GROUP BY ALL),
+    g AS (SELECT b.*, count(*) OVER (PARTITION BY case_id, base) AS size, row_number() OVER (PARTITION BY case_id, base ORDER BY person_seq) AS nth FROM b)
+    SELECT g.case_id, g.person_seq::INT AS person_seq, CASE WHEN size = 1 THEN g.base WHEN best.k IS NOT NULL THEN v.lab WHEN nth = 1 THEN g.base ELSE g.base || ' (' || nth || ')' END AS label, 'person' AS kind, g.person AS names
+    FROM g LEFT JOIN best ON best.case_id = g.case_id AND best.base = g.base LEFT JOIN v ON v.case_id = g.case_id AND v.person = g.person AND v.k = best.k
+    UNION ALL SELECT DISTINCT case_id, 0, 'Mandant', 'mandant', 'Robin Kinzel' FROM m UNION ALL SELECT DISTINCT case_id, 1, 'Gegner', 'gegner', '' FROM m"""
+
+
+@query(_PERSONS_SQL)
 def q_persons(spark, sf_dir):
     return _analysis(spark, sf_dir).persons.select("case_id", "person_seq", "label", "kind", F.array_join("names", ";").alias("names"))
 
 
-@query()
+# What each line of a letter must give. A name's label: all owners of its last token within the case. The client's name wins whole; its parts are looked for
+# before salutations (so Robin loses the first name, and another Kinzel takes over the part's priority), and these before names found elsewhere.
+_ANALYSIS_SQL = f"""WITH p AS ({_PERSONS_SQL}), {LETTERS},
+    t AS (SELECT case_id, unnest(string_split(names, ' ')) AS token, person_seq, label FROM p WHERE names <> ''),
+    o AS (SELECT case_id, token, string_agg(label, '/' ORDER BY person_seq) AS lab FROM t GROUP BY ALL),
+    d AS (SELECT (doc_id // 20)::VARCHAR AS case_id, doc_id, text, person, string_split(person, ' ')[1] AS f, string_split(person, ' ')[2] AS l FROM letters),
+    a AS (SELECT d.*, x.lab AS of_l, y.lab AS of_f FROM d JOIN o x ON x.case_id = d.case_id AND x.token = l JOIN o y ON y.case_id = d.case_id AND y.token = f),
+    h AS (
+        SELECT case_id, doc_id, 1 AS nth, CASE WHEN f = 'Robin' AND l <> 'Kinzel' THEN f ELSE person END AS text, CASE WHEN person = 'Robin Kinzel' THEN 'Mandant' WHEN f = 'Robin' THEN of_f ELSE of_l END AS label, 'name' AS category,
+            CASE WHEN person = 'Robin Kinzel' THEN 10 WHEN f = 'Robin' OR l = 'Kinzel' THEN 40 ELSE 45 END AS priority FROM a
+        UNION ALL SELECT case_id, doc_id, 2, l, of_l, 'name', 45 FROM a WHERE f = 'Robin' AND l <> 'Kinzel'
+        UNION ALL SELECT case_id, doc_id, 3, regexp_extract(text, 'Tel. ([0-9/]+)', 1), 'Telefon', 'telefon', 20 FROM a
+        UNION ALL SELECT case_id, doc_id, 4, regexp_extract(text, 'Mobil: ([0-9 ]+)', 1), 'Handy', 'telefon', 20 FROM a WHERE text LIKE '%Mobil: %'
+        UNION ALL SELECT case_id, doc_id, 5, regexp_extract(text, 'E-Mail: ([^\\n]+)', 1), 'E-Mail', 'email', 20 FROM a
+        UNION ALL SELECT case_id, doc_id, 6, regexp_extract(text, 'IBAN: ([^\\n]+)', 1), 'IBAN', 'iban', 20 FROM a
+        UNION ALL SELECT case_id, doc_id, 7, regexp_extract(text, 'Konto-Nr.: ([0-9]+)', 1), 'Konto-Nr.', 'iban', 20 FROM a WHERE text LIKE '%Konto-Nr.%'
+        UNION ALL SELECT case_id, doc_id, 8, regexp_extract(text, 'geb(\\. |oren am )([0-9.]{{10}})', 2), 'Geb.-Datum', 'geburtsdatum', 20 FROM a
+        UNION ALL SELECT case_id, doc_id, 9, regexp_extract(text, '[0-9]{{4}} in ([^\\n]+)', 1), 'Geb.-Ort', 'geburtsdatum', 20 FROM a WHERE doc_id % 5 = 0
+        UNION ALL SELECT case_id, doc_id, 10, regexp_extract(text, '(SV-Nr.|Versichertennummer): ([A-Z0-9]+)', 2), CASE WHEN doc_id % 3 = 0 THEN 'SV-Nr.' ELSE 'Vers.-Nr.' END, 'versicherung', 20 FROM a WHERE doc_id % 3 < 2
+        UNION ALL SELECT case_id, doc_id, 11, l, 'Geburtsname', 'name', 20 FROM a WHERE doc_id % 3 = 2
+        UNION ALL SELECT case_id, doc_id, 12, l, of_l, 'name', CASE WHEN l = 'Kinzel' THEN 40 ELSE 50 END FROM a
+        UNION ALL SELECT case_id, doc_id, 13, l || 's', of_l, 'name', CASE WHEN l = 'Kinzel' THEN 40 ELSE 50 END FROM a WHERE doc_id % 7 = 0)
+    SELECT case_id, doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1)::INT AS seq, text, label, category, priority::INT AS priority, CASE WHEN category = 'name' THEN 'name|' || label ELSE category || '|' || lower(text) END AS grp FROM h"""
+
+
+@query(_ANALYSIS_SQL)
 def q_analysis(spark, sf_dir):
     return _analysis(spark, sf_dir).hits.select("case_id", "doc_id", "seq", "text", "label", "category", "priority", "grp")
 
