@@ -127,3 +127,24 @@ def test_cleaning(spark):
     ]
     rows = fd.clean_findings(spark.createDataFrame(raw, "text string, kategorie string, bezug string, unsicher string, hinweis string")).collect()
     assert {(r.text, r.kategorie, r.bezug, r.unsicher, r.hinweis) for r in rows} == {("Petra Muster", "name", "x", True, "h" * 120), ("ABC-77", "sonstiges", "", True, "Kategorie unklar"), ("Limburg", "geburtsort", "a b", False, "")}
+
+
+def test_a_detector_is_asked_piece_by_piece(spark):
+    def strict(told, piece):
+        raise fd.Refused("HTTP 400")
+
+    def plain(told, piece):
+        if "kaputt" in piece:
+            raise OSError("weg")
+        if "stumm" in piece:
+            return "nichts"
+        names = [w for w in piece.split() if w[:1].isupper()]
+        return '{"funde": [' + ", ".join(f'{{"text": "{n}", "kategorie": "name", "bezug": "{told}"}}' for n in names) + "]}"
+
+    pages = spark.createDataFrame([("c", 1, 0, "Anna\nund Bernd\nund Anna"), ("c", 1, 1, "kaputt"), ("c", 2, 0, "stumm"), ("d", 3, 0, " x "), ("d", 3, 1, "Clara")], "case_id string, doc_id long, page_no int, text string")
+    context = spark.createDataFrame([("c", "wer")], "case_id string, told string")
+    found, failed = fd.read_findings(pages, [strict, plain], context, limit=12)
+    assert sorted((f.case_id, f.doc_id, f.page_no, f.seq, f.text, f.bezug) for f in found.collect()) == [("c", 1, 0, 0, "Anna", "wer"), ("c", 1, 0, 100_000, "Bernd", "wer"), ("d", 3, 1, 0, "Clara", "")]
+    assert sorted((f.doc_id, f.page_no, f.error) for f in failed.collect()) == [(1, 1, "OSError: weg"), (2, 0, "the reply holds no findings")]
+    only, failed = fd.read_findings(pages, [strict], context)
+    assert only.count() == 0 and {f.error for f in failed.collect()} == {"HTTP 400"}

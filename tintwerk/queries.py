@@ -520,6 +520,35 @@ def q_pixel_rects(spark, sf_dir):
     return views.read(spark, sf_dir, "orders").select("o_orderkey", rect.alias("r")).select("o_orderkey", F.col("r.x0").cast("long").alias("x0"), F.col("r.x1").cast("long").alias("x1"))
 
 
+@query(f"WITH {HITS} SELECT doc_id, seq FROM hits WHERE page_no = 1 AND enabled AND y0 >= 10")
+def q_hits_on_page(spark, sf_dir):
+    rect = F.struct(F.lit(50.0).alias("x0"), F.col("y0"), F.lit(90.0).alias("x1"), (F.col("y0") + 9).alias("y1"))
+    hits = _hits(spark, sf_dir).withColumn("rects", F.when(F.col("y0") >= 10, F.array(rect)).otherwise(F.array().cast(f"array<{schemas.RECT}>")))
+    return export.active(export.on_page(hits, 1)).select("doc_id", "seq")
+
+
+_WIDTHS = "[" + ", ".join(map(str, export.HELVETICA)) + "]"
+
+
+@query(f"""WITH {LETTERS}, p AS (SELECT DISTINCT person, length(person) + 9.0 AS w FROM letters), f AS (SELECT person, w, substr(person, 1, 1) || '.' AS short,
+        list_sum(list_transform(string_split(translate(person, 'äöüÄÖÜß', 'aouAOUg'), ''), lambda c: ({_WIDTHS})[ord(c) - 31])) / 1000.0 AS tw, list_sum(list_transform(string_split(translate(substr(person, 1, 1) || '.', 'äöüÄÖÜß', 'aouAOUg'), ''), lambda c: ({_WIDTHS})[ord(c) - 31])) / 1000.0 AS sw FROM p),
+    s AS (SELECT *, CASE WHEN tw * 7.2 > w - 2 THEN 7.2 * (w - 2) / (tw * 7.2) ELSE 7.2 END AS long_size, CASE WHEN sw * 7.2 > w - 2 THEN 7.2 * (w - 2) / (sw * 7.2) ELSE 7.2 END AS short_size FROM f)
+    SELECT person, CASE WHEN long_size >= 4.5 THEN person ELSE short END AS text, round(CASE WHEN long_size >= 4.5 THEN long_size ELSE short_size END, 6)::DOUBLE AS size FROM s""")
+def q_label_fit(spark, sf_dir):
+    rows = _letters(spark, sf_dir).select("person").distinct()
+    fit = export.fitted_label(F.col("person"), F.concat(F.substring("person", 1, 1), F.lit(".")), F.length("person") + 9.0, F.lit(10.0))
+    return rows.select("person", fit.alias("f")).select("person", "f.text", F.round("f.size", 6).alias("size"))
+
+
+@query("SELECT o_orderkey, '/akten/' || CASE o_orderkey % 3 WHEN 0 THEN '' ELSE 'neu/' END || o_orderkey || '.pdf' AS path FROM orders")
+def q_resolved_paths(spark, sf_dir):
+    from tintwerk.sources.files import resolved
+
+    key = F.col("o_orderkey").cast("string")
+    path = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("file:///akten/alt/../"), key)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("/akten//neu/./"), key)).otherwise(F.concat(F.lit("/akten/neu/x/../"), key))
+    return views.read(spark, sf_dir, "orders").select("o_orderkey", resolved(F.concat(path, F.lit(".pdf"))).alias("path"))
+
+
 # ---- recognition
 
 
