@@ -257,14 +257,14 @@ def q_user_term(spark, sf_dir):
 # ---- findings
 
 
-_RAW = """SELECT c_custkey AS doc_id, CASE c_custkey % 6 WHEN 0 THEN 'Zeugin  Dr. Petra Muster' WHEN 1 THEN 'Herr' WHEN 2 THEN '12 Weber' WHEN 3 THEN 'Amtsgericht Limburg' WHEN 4 THEN 'Jens Beispiel' ELSE 'K-77' END AS text,
-    CASE WHEN c_custkey % 6 = 5 THEN 'quatsch' ELSE ' Name' END AS kategorie, ' a  b ' AS bezug, CASE WHEN c_custkey % 4 = 0 THEN 'ja' ELSE 'false' END AS unsicher, 'Hinweis' AS hinweis FROM customer"""
+_RAW = """SELECT doc_id, person, CASE doc_id % 6 WHEN 0 THEN 'Zeugin  Dr. ' || person WHEN 1 THEN 'Herr' WHEN 2 THEN CAST(doc_id AS STRING) || ' ' || person WHEN 3 THEN 'Amtsgericht ' || person WHEN 4 THEN person ELSE 'K-' || CAST(doc_id AS STRING) END AS text,
+    CASE WHEN doc_id % 6 = 5 THEN 'quatsch' ELSE ' Name' END AS kategorie, ' a  ' || CAST(doc_id AS STRING) || ' ' AS bezug, CASE WHEN doc_id % 4 = 0 THEN 'ja' ELSE 'false' END AS unsicher, 'Hinweis ' || CAST(doc_id AS STRING) AS hinweis FROM letters"""
 
 
-@query(f"""WITH r AS ({_RAW}) SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Petra Muster' ELSE text END AS text, CASE WHEN doc_id % 6 = 5 THEN 'sonstiges' ELSE 'name' END AS kategorie, 'a b' AS bezug,
-    (doc_id % 6 = 5 OR doc_id % 4 = 0) AS unsicher, CASE WHEN doc_id % 6 = 5 OR doc_id % 4 = 0 THEN 'Hinweis' ELSE '' END AS hinweis FROM r WHERE doc_id % 6 IN (0, 4, 5)""")
+@query(f"""WITH {LETTERS}, r AS ({_RAW}) SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN person ELSE r.text END AS text, CASE WHEN doc_id % 6 = 5 THEN 'sonstiges' ELSE 'name' END AS kategorie, 'a ' || doc_id AS bezug,
+    (doc_id % 6 = 5 OR doc_id % 4 = 0) AS unsicher, CASE WHEN doc_id % 6 = 5 OR doc_id % 4 = 0 THEN 'Hinweis ' || doc_id ELSE '' END AS hinweis FROM r WHERE doc_id % 6 IN (0, 4, 5)""")
 def q_findings_clean(spark, sf_dir):
-    raw = spark.sql(_RAW.replace("FROM customer", "FROM {customer}"), customer=views.read(spark, sf_dir, "customer"))
+    raw = spark.sql(_RAW.replace("FROM letters", "FROM {letters}"), letters=_letters(spark, sf_dir))
     return findings.clean_findings(raw).select("doc_id", "text", "kategorie", "bezug", "unsicher", "hinweis")
 
 
@@ -300,11 +300,16 @@ def q_initials(spark, sf_dir):
     return _letters(spark, sf_dir).select("person").distinct().select("person", tx.initials(F.col("person")).alias("initials"), tx.initials(F.col("person"), 1, 2).alias("longer"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'R.K.' WHEN 1 THEN 'R.K./Mandant' WHEN 2 THEN 'Adresse R.K.' ELSE 'Gegner' END AS label, CASE o_orderkey % 4 WHEN 0 THEN 'R.K.' WHEN 1 THEN 'R.K./Mdt.' WHEN 2 THEN 'Adr. R.K.' ELSE 'Ggn.' END AS short FROM orders")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN x WHEN 1 THEN x || '/Mandant' WHEN 2 THEN 'Adresse ' || x ELSE 'Person 27/' || x END AS label, CASE o_orderkey % 4 WHEN 0 THEN x WHEN 1 THEN x || '/Mdt.' WHEN 2 THEN 'Adr. ' || x ELSE 'P. 27/' || x END AS short
+    FROM (SELECT o_orderkey, chr((65 + o_custkey % 26)::INT) || '.' || chr((65 + o_custkey % 7)::INT) || '.' AS x FROM orders)""")
 def q_relabel(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    old = F.when(k == 0, "Person A").when(k == 1, "Person A/Mandant").when(k == 2, "Adresse Person A").otherwise("Gegner")
-    mapping = F.create_map(F.lit("Person A"), F.lit("R.K."), F.lit("Adresse Person A"), F.lit("Adresse R.K."))
+    """A map of 182 labels, of which each row's label, part or address is one."""
+    k, nth = F.col("o_orderkey") % 4, F.col("o_custkey") % 26
+    initial = F.col("o_custkey") % 7
+    person = F.concat(F.lit("Person "), F.chr(65 + nth), initial.cast("string"))
+    old = F.when(k == 0, person).when(k == 1, F.concat(person, F.lit("/Mandant"))).when(k == 2, F.concat(F.lit("Adresse "), person)).otherwise(F.concat(F.lit("Person 27/"), person))
+    pairs = [(f"Person {chr(65 + i)}{j}", f"{chr(65 + i)}.{chr(65 + j)}.") for i in range(26) for j in range(7)]
+    mapping = F.create_map(*[F.lit(x) for a, b in pairs for x in (a, b, f"Adresse {a}", f"Adresse {b}")])
     return views.read(spark, sf_dir, "orders").select("o_orderkey", tx.relabel(old, mapping).alias("label")).select("*", tx.short_label(F.col("label")).alias("short"))
 
 
@@ -653,17 +658,30 @@ def q_name_words(spark, sf_dir):
     return _letters(spark, sf_dir).select("person", F.array_join(F.transform(tx.name_words(listed), lambda w: w["w"]), " ").alias("turned")).distinct()
 
 
-@query("""SELECT c_custkey AS doc_id, 2 + (c_custkey % 3 = 0)::INT AS n_values, 3 + (c_custkey % 3 = 0)::INT AS n_parts FROM customer""")
+@query("""SELECT c_custkey AS doc_id, (c_custkey % 5 + 1)::INT AS n_values, (2 * (c_custkey % 5 + 1) + (c_custkey % 3 = 0)::INT)::INT AS n_parts FROM customer""")
 def q_split_values(spark, sf_dir):
-    text = F.concat(F.lit(" Weg 1, 12345 Ort ;;"), F.when(F.col("c_custkey") % 3 == 0, "Platz 2;").otherwise(" ; "), F.lit("Allee 3, x"))
+    """One to five addresses, each with its number, parted in several ways; every third row has a part more in its last."""
+    each = F.transform(F.sequence(F.lit(0), (F.col("c_custkey") % 5).cast("int")), lambda i: F.concat(F.lit(" Weg "), i.cast("string"), F.lit(", 1234"), i.cast("string"), F.lit(" Ort, x")))
+    text = F.concat(F.lit(" ;"), F.when(F.col("c_custkey") % 2 == 0, F.array_join(each, ";")).otherwise(F.array_join(each, " \n;\n")), F.when(F.col("c_custkey") % 3 == 0, ", Hof").otherwise(" ;"))
     return views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.size(tx.split_values(text)).alias("n_values"), F.size(tx.address_parts(text)).alias("n_parts"))
 
 
-@query("SELECT c_custkey AS doc_id, c_custkey % 5 IN (0, 1, 3) AS organisation FROM customer")
+# Java's \b and \w know all letters; in this engine they are written out.
+_ORGANISATION_SQL = "(^|[^\\p{L}\\p{N}_])(?i:" + enums.ORGANISATION.removeprefix(r"\b(").removesuffix(r")\b").replace(r"\w", "[\\p{L}\\p{N}_]") + ")([^\\p{L}\\p{N}_]|$)"
+_NAMES_SQL = f"""names AS (SELECT DISTINCT text AS name FROM words UNION SELECT person FROM letters UNION SELECT person || ' GmbH' FROM letters UNION SELECT 'Praxis ' || person FROM letters UNION SELECT string_split(person, ' ')[2] || 'versicherung' FROM letters
+    UNION SELECT 'Amtsgericht ' || string_split(person, ' ')[1] FROM letters UNION SELECT 'Rechtsanwältin ' || person FROM letters UNION SELECT 'RAin ' || person FROM letters)"""
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    """The words of all documents, and names with and without what marks organisations and professionals."""
+    person, part = F.col("person"), F.split("person", " ")
+    made = F.array(person, F.concat(person, F.lit(" GmbH")), F.concat(F.lit("Praxis "), person), F.concat(part[1], F.lit("versicherung")), F.concat(F.lit("Amtsgericht "), part[0]), F.concat(F.lit("Rechtsanwältin "), person), F.concat(F.lit("RAin "), person))
+    return views.documents(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("name")).unionByName(_letters(spark, sf_dir).select(F.explode(made).alias("name"))).distinct()
+
+
+@query(f"WITH {LETTERS}, {_words_sql('documents')}, {_NAMES_SQL} SELECT name, regexp_matches(name, '{_ORGANISATION_SQL}') AS organisation FROM names")
 def q_organisation(spark, sf_dir):
-    k = F.col("c_custkey") % 5
-    name = F.when(k == 0, "Muster Wohnbau GmbH").when(k == 1, "Amtsgericht Köln").when(k == 2, "Robin Kinzel").when(k == 3, "Stadt Limburg").otherwise("Anna Großmann")
-    return views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), tx.is_organisation(name).alias("organisation"))
+    return _names(spark, sf_dir).select("name", tx.is_organisation(F.col("name")).alias("organisation"))
 
 
 @query(f"""WITH {LETTERS}, v AS (SELECT doc_id, bban, lpad(((98 - ((bban::BIGINT % 97) * 27 + 131400) % 97 + doc_id % 3) % 100)::VARCHAR, 2, '0') AS c FROM letters)
@@ -674,11 +692,9 @@ def q_iban_valid(spark, sf_dir):
     return rows.select("doc_id", "iban", patterns.iban_valid(F.col("iban")).alias("valid"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 4 < 2 AS professional FROM orders")
+@query(f"WITH {LETTERS}, {_words_sql('documents')}, {_NAMES_SQL} SELECT name, regexp_matches(lower(name), 'rechtsanw|notar|richter|sachverständig|gutachter|(^|[^\\p{{L}}\\p{{N}}_])ra(in)?([^\\p{{L}}\\p{{N}}_]|$)') AS professional FROM names")
 def q_professional(spark, sf_dir):
-    k = F.col("o_orderkey") % 4
-    prefix = F.when(k == 0, "Rechtsanwältin ").when(k == 1, "Richter am Amtsgericht ").when(k == 2, "Frau ").otherwise("Zeuge ")
-    return views.read(spark, sf_dir, "orders").select("o_orderkey", names.professional(prefix).alias("professional"))
+    return _names(spark, sf_dir).select("name", names.professional(F.col("name")).alias("professional"))
 
 
 @query(f"""WITH {LETTERS}, {_words_sql('letters')}, b AS (SELECT doc_id, word_no, text, 50 + 6 * (start - min(start) OVER (PARTITION BY doc_id, line_no)) AS x0, 50 + 14 * line_no AS y0 FROM words)
@@ -752,10 +768,13 @@ def q_mark_shared(spark, sf_dir):
     return analysis.mark_shared(hits, shared).select("o_orderkey", "label")
 
 
-@query("""SELECT c_custkey AS doc_id, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END::INT AS found FROM customer""")
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 4 = 3 OR (c_custkey % 4 = 1 AND c_custkey % 7 = 0) THEN -1 ELSE c_custkey % 7 END::INT AS found FROM customer""")
 def q_parse_replies(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    reply = F.when(k == 0, '<think>x</think>{"funde": [{"text": "A"}, {"text": "B"}]}').when(k == 1, '{"funde": [{"text": "A", "kategorie": "name"}, {"te').when(k == 2, 'Hier: {"funde": []}').otherwise("nichts")
+    """None to six findings, whole behind thoughts or within a sentence, cut off in the next one, or no findings at all."""
+    k, n = F.col("c_custkey") % 4, (F.col("c_custkey") % 7).cast("int")
+    items = F.array_join(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit('{"text": "T'), i.cast("string"), F.lit('", "kategorie": "name"}'))), ", ")
+    head, whole = F.concat(F.lit('{"funde": ['), items), F.concat(F.lit('{"funde": ['), items, F.lit("]}"))
+    reply = F.when(k == 0, F.concat(F.lit("<think>x</think>"), whole)).when(k == 1, F.concat(head, F.lit(', {"text": "Mus'))).when(k == 2, F.concat(F.lit("Hier: "), whole, F.lit(" fertig"))).otherwise("nichts")
     return views.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.coalesce(F.size(findings.parse_reply(reply)), F.lit(-1)).alias("found"))
 
 
