@@ -174,10 +174,10 @@ def q_span_segments(spark, sf_dir):
     return rows.select("doc_id", F.explode(words.segments_at(F.col("spans"), F.col("h.s"), F.col("h.e"))).alias("g")).select("doc_id", "g.word", "g.c0", "g.c1")
 
 
-@query(f"""WITH {LETTERS}, {_words_sql('letters')}, b AS (SELECT doc_id, line_no, 50 + 6 * (start - min(start) OVER (PARTITION BY doc_id, line_no)) AS x0, length(text) * 6 AS w FROM words WHERE line_no < 2)
+@query(f"""WITH {LETTERS}, {_words_sql('letters')}, b AS (SELECT doc_id, line_no, 50 + 6 * (start - min(start) OVER (PARTITION BY doc_id, line_no)) AS x0, length(text) * 6 AS w FROM words)
     SELECT doc_id, line_no::INT AS line_no, round(min(x0) - 1.2, 6) AS x0, round(50 + 14 * line_no - 1.2, 6) AS y0, round(least(595, max(x0 + w) + 1.2), 6) AS x1, round(60 + 14 * line_no + 1.2, 6) AS y1 FROM b GROUP BY doc_id, line_no""")
 def q_rects(spark, sf_dir):
-    rows = _letter_words(spark, sf_dir).where("line_no < 2")
+    rows = _letter_words(spark, sf_dir)
     out = words.line_rects(rows, rows.select("doc_id", "page_no", "word_no", F.lit(0).alias("hit")))
     return out.select("doc_id", "line_no", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
@@ -628,11 +628,11 @@ def q_absorb(spark, sf_dir):
     return analysis.resolve_pages(pages, hits).select("doc_id", "text", "label", "priority")
 
 
-@query(f"""WITH {LETTERS}, {_words_sql('letters')} SELECT doc_id, word_no::INT AS word, 0 AS c0, 4 AS c1, 'A' AS label, substr(text, 1, 4) AS text FROM words WHERE length(text) >= 6 AND regexp_matches(text, '^[A-Za-z]+$')
-    UNION ALL SELECT doc_id, word_no, 4, length(text), 'B', substr(text, 5) FROM words WHERE length(text) >= 6 AND regexp_matches(text, '^[A-Za-z]+$')""")
+@query(f"""WITH {LETTERS}, {_words_sql('letters')} SELECT doc_id, word_no::INT AS word, 0 AS c0, 4 AS c1, 'A' AS label, substr(text, 1, 4) AS text FROM words WHERE length(text) >= 6
+    UNION ALL SELECT doc_id, word_no, 4, length(text), 'B', substr(text, 5) FROM words WHERE length(text) >= 6 AND trim(substr(text, 5), ' .,;:') <> ''""")
 def q_overlap(spark, sf_dir):
     pages = views.pages_of(_letters(spark, sf_dir))
-    own = words.exploded(pages).where(F.rlike("text", F.lit("^[A-Za-z]{6,}$"))).withColumn("doc_seq", F.col("doc_id").cast("int"))
+    own = words.exploded(pages).where(F.length("text") >= 6).withColumn("doc_seq", F.col("doc_id").cast("int"))
     hit = lambda stage, c0, c1, label, priority: own.select(
         *analysis.PAGE, F.lit(stage).alias("stage"), F.col("word_no").alias("nth"), F.array(F.struct(F.col("word_no").alias("word"), c0.cast("int").alias("c0"), c1.cast("int").alias("c1"))).alias("segments"),
         (F.substring("text", 1, 4) if label == "A" else F.col("text")).alias("text"), F.lit(label).alias("label"), F.lit("x").alias("category"), F.lit(priority).alias("priority"), F.array().cast(f"array<{schemas.RECT}>").alias("rects"), F.lit(True).alias("enabled"), F.lit("").alias("question"))
@@ -710,13 +710,13 @@ def q_word_at(spark, sf_dir):
     return words.word_at(_letter_words(spark, sf_dir), 100.0, 55.0).select("doc_id", "word_no", "text")
 
 
-@query(f"""WITH {_words_sql('documents')}, t AS (SELECT DISTINCT text FROM words WHERE regexp_matches(text, '^[a-zA-Z.,]{{3,}}$')),
+@query(f"""WITH {_words_sql('documents')}, t AS (SELECT DISTINCT text FROM words WHERE length(text) >= 3),
     c AS (SELECT text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM t),
-    w AS (SELECT text, i, CASE WHEN strpos(',.;:!|''`´il1Ijtf()[]/\\-', c) > 0 THEN 0.45 WHEN strpos('mwMWÄÖÜ@%&QGOD', c) > 0 THEN 1.35 WHEN regexp_matches(c, '[A-Z]') THEN 1.1 ELSE 1.0 END AS w FROM c),
+    w AS (SELECT text, i, CASE WHEN strpos(',.;:!|''`´il1Ijtf()[]/\\-', c) > 0 THEN 0.45 WHEN strpos('mwMWÄÖÜ@%&QGOD', c) > 0 THEN 1.35 WHEN regexp_matches(c, '[\\p{{Lu}}\\p{{Nd}}]') THEN 1.1 ELSE 1.0 END AS w FROM c),
     s AS (SELECT text, sum(w)::DOUBLE AS total, sum(w) FILTER (i <= 1)::DOUBLE AS a, sum(w) FILTER (i <= length(text) - 1)::DOUBLE AS b FROM w GROUP BY text)
     SELECT text, round(greatest(0, 60 * a / total - 0.45 * 60 / total), 6) AS x0, round(least(60, 60 * b / total + 0.45 * 60 / total), 6) AS x1 FROM s""")
 def q_partial_range(spark, sf_dir):
-    each = views.documents(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("text")).where(F.rlike("text", F.lit("^[a-zA-Z.,]{3,}$"))).distinct()
+    each = views.documents(spark, sf_dir).select(F.explode(tx.words(F.col("text"))).alias("text")).where(F.length("text") >= 3).distinct()
     out = each.select("text", words.part_range(F.col("text"), F.lit(0.0), F.lit(60.0), F.lit(1), F.length("text") - 1).alias("r"))
     return out.select("text", F.round("r.x0", 6).alias("x0"), F.round("r.x1", 6).alias("x1"))
 
