@@ -29,12 +29,51 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_open: list[Intermediates] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for i in _open:
+        i.paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that were ``written`` and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "written_to", None):
+            _delete(t.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Intermediates:
+    """The tables written within a ``with`` block; those that the result doesn't read go as soon as the others stand."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Intermediates:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open.remove(self)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        kept = {t.written_to for t in tables}
+        for path in self.paths:
+            if path not in kept:
+                _delete(self.spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintwerk.llm import _bytes as by
-from tintwerk.llm._work import written
+from tintwerk.llm._work import Intermediates, written
 from tintwerk.llm.components import connected_components
 
 TREES, DEPTH, DEEP = 24, 5, 8
@@ -243,6 +243,16 @@ def near_duplicates(docs: DataFrame, least: int = 85, leaf: int = LEAF, block: i
 
     ``leaf``, ``block`` and ``most`` (bytes) bound the units of work; the result doesn't depend on them.
     """
+    with Intermediates(docs.sparkSession) as made:
+        signed, classes = _classes(docs, least, leaf, block, most)
+        made.keep_only(signed, classes)
+    out = signed.drop("signs", "size").join(classes, ["hi", "lo"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("of"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def _classes(docs: DataFrame, least: int, leaf: int, block: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(the signatures of each row; ``hi, lo, of``: each class and its component), both written."""
     signed = written(signatures(docs), "signatures")
     full = signed.where("n_shingles > 0")
     classes = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
@@ -271,10 +281,7 @@ def near_duplicates(docs: DataFrame, least: int = 85, leaf: int = LEAF, block: i
         found = _components(links.unionByName(link(units).where("node <> component")))
     joined_reps = found.where("node <> component").distinct()
     classes = classes.join(joined_reps, classes.rep == joined_reps.node, "left").select("hi", "lo", F.coalesce("component", "rep").alias("of"))
-    classes = written(classes, "class-components")
-    out = signed.drop("signs", "size").join(classes, ["hi", "lo"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("of"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return signed, written(classes, "class-components")
 
 
 def _components(links: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintwerk.llm import _bytes as by
-from tintwerk.llm._work import written
+from tintwerk.llm._work import Intermediates, written
 
 WINDOW, K = 400, 128
 BLOCK = 4 << 20  # bytes of contexts indexed at a time
@@ -283,25 +283,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, hot: int =
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of each row; spans: the removed [start, end) in bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"k1": F.coalesce("doc_id", F.lit(-(1 << 63))), "k2": F.xxhash64("text")})
-    found = written(find_anchors(rows.where(F.octet_length("text") >= window), window, k), "anchors")
-    often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    # Tables of their own, here and for the marks: a join straight on an aggregate can't have its hot keys split.
-    shared = written(found.join(written(often, "often"), "anchor"), "shared")
-    contexts = shared.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("owner"), F.min("after").alias("after"))
-    contexts = written(contexts.withColumn("before", F.least(F.col("owner.place"), F.lit(window - k))), "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    several = written(several.select("anchor", (F.col("kinds") > hot).alias("hot")), "several")
-    # A text lends its bytes to as many contexts as it has anchors: the list is bounded by the text.
-    lent = contexts.join(several, "anchor").groupBy("owner.k1", "owner.k2").agg(F.collect_list(F.struct(*CONTEXT, F.col("owner.place").alias("place"), "before", "after", "hot")).alias("all"))
-    part = lambda hot: F.when(F.exists("all", lambda c: c["hot"] == hot), F.filter("all", lambda c: c["hot"] == hot))
-    lent = lent.select(*KEY, part(False).alias("lent"), part(True).alias("hot"))
-    keys = shared.select(*KEY).distinct()
-    candidates = written(rows.select(*KEY, "text").join(keys.join(lent, KEY, "left"), KEY), "candidates")
-    own = contexts.where("n > 1").select(*CONTEXT, F.col("before").alias("left"), F.col("after").alias("right"))
-    indexed = index_contexts(_cut(candidates.select("text", "lent")), window, k)
-    counted = count_windows(_cut(candidates.select("text", F.col("hot").alias("lent"))), window, k)
-    marks = own.unionByName(indexed).unionByName(counted).groupBy(*CONTEXT).agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    spans = shared.join(written(marks, "marks"), CONTEXT).select(*KEY, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
+    with Intermediates(docs.sparkSession) as made:
+        found = written(find_anchors(rows.where(F.octet_length("text") >= window), window, k), "anchors")
+        often = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+        # Tables of their own, here and for the marks: a join straight on an aggregate can't have its hot keys split.
+        shared = written(found.join(written(often, "often"), "anchor"), "shared")
+        contexts = shared.groupBy(*CONTEXT).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("owner"), F.min("after").alias("after"))
+        contexts = written(contexts.withColumn("before", F.least(F.col("owner.place"), F.lit(window - k))), "contexts")
+        several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        several = written(several.select("anchor", (F.col("kinds") > hot).alias("hot")), "several")
+        # A text lends its bytes to as many contexts as it has anchors: the list is bounded by the text.
+        lent = contexts.join(several, "anchor").groupBy("owner.k1", "owner.k2").agg(F.collect_list(F.struct(*CONTEXT, F.col("owner.place").alias("place"), "before", "after", "hot")).alias("all"))
+        part = lambda hot: F.when(F.exists("all", lambda c: c["hot"] == hot), F.filter("all", lambda c: c["hot"] == hot))
+        lent = lent.select(*KEY, part(False).alias("lent"), part(True).alias("hot"))
+        keys = shared.select(*KEY).distinct()
+        candidates = written(rows.select(*KEY, "text").join(keys.join(lent, KEY, "left"), KEY), "candidates")
+        own = contexts.where("n > 1").select(*CONTEXT, F.col("before").alias("left"), F.col("after").alias("right"))
+        indexed = index_contexts(_cut(candidates.select("text", "lent")), window, k)
+        counted = count_windows(_cut(candidates.select("text", F.col("hot").alias("lent"))), window, k)
+        marks = own.unionByName(indexed).unionByName(counted).groupBy(*CONTEXT).agg(F.max("left").alias("left"), F.max("right").alias("right"))
+        marks = written(marks, "marks")
+        made.keep_only(shared, candidates, marks)
+    spans = shared.join(marks, CONTEXT).select(*KEY, (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end"))
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("start", "end")).alias("marks"))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
