@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintwerk.llm import decontamination, mixing, near_dedup, quality, queries, sharding
-from tintwerk.llm._work import table, written
+from tintwerk.llm._work import discard, table, written
 
 NEAR = 80  # hundredths of intersection over union
 N_SHARDS = 24
@@ -68,5 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)  # but for the documents themselves, which weren't written here
     return STAGES[-1][1](spark, docs, sf_dir)
