@@ -15,7 +15,7 @@ from tintwerk import enums
 from tintwerk.functions.spans import hit, located, masked
 from tintwerk.functions.text import digit_count
 
-# Fixed patterns of the rules.
+# Fixed patterns of the rules: results depend on them, so each must match as it stands; only flags are Java's.
 EMAIL = r"[A-Za-z0-9._%+\-ÄÖÜäöü]+[ \t]?(?:@|\(at\)|\[at\]|©|®)[ \t]?[A-Za-z0-9\-ÄÖÜäöü]+(?:\.[A-Za-z0-9\-ÄÖÜäöü]+)*\.[A-Za-z]{2,}"
 IBAN = r"(?U)\b[A-Z]{2}[ \t]?\d{2}(?:[ \t]?[A-Z0-9]){10,30}"
 ACCOUNT = r"(?U)(?i:Konto(?:nummer|[ \t]?-?[ \t]?Nr\.?)|Kto\.?(?:[ \t]?-?[ \t]?Nr\.?)?)[ \t]*[:.]?[ \t]*(\d(?:[ \t]?\d){4,14})\b"
