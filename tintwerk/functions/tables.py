@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def kept(table: DataFrame) -> DataFrame:
     """``table``, computed once: written to the folder of ``spark.checkpoint.dir``, which outlives executors, or cached where that is unset (tests)."""
-    if table.sparkSession.conf.get("spark.checkpoint.dir", None):
+    if where := table.sparkSession.conf.get("spark.checkpoint.dir", None):
+        context = table.sparkSession.sparkContext
+        if context.getCheckpointDir() is None:  # set for the session only
+            context.setCheckpointDir(where)
         return table.checkpoint()
     return table.persist()
 
