@@ -7,6 +7,7 @@ import pytest
 
 from tintwerk.llm import _bytes as by
 from tintwerk.llm import near_dedup
+from tintwerk.llm.components import connected_components, joined
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -136,3 +137,22 @@ def test_depth_is_the_same_in_crowds(spark):
     whole, parts = ({(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(docs, 68, leaf=m, block=m).collect()} for m in (4096, 4))
     assert 100 <= len({c for _, c in whole}) < 110
     assert whole == parts, len(whole ^ parts)
+
+
+def test_components_by_stars_and_in_one_task(spark):
+    r = random.Random(3)
+    edges = [(r.randrange(-50, 400), r.randrange(-50, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 40)] + [(7, 7)]
+    of = {}
+    for a, b in edges:
+        of.setdefault(a, {a}), of.setdefault(b, {b})
+        both = of[a] | of[b]
+        for x in both:
+            of[x] = both
+    want = {n: min(c) for n, c in of.items() if len(c) > 1}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    for most in (0, 1 << 20):
+        got = connected_components(table, one_task=most).collect()
+        assert {x.node: x.component for x in got} == want and len(got) == len(want)
+    assert connected_components(table.limit(0)).count() == 0
+    chain = np.arange(100_000)
+    assert (joined(chain[:-1], chain[1:])[1] == 0).all()
