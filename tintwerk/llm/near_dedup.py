@@ -35,7 +35,7 @@ from tintwerk.llm._work import Intermediates, written
 from tintwerk.llm.components import connected_components
 
 TREES, DEPTH, DEEP = 24, 5, 8
-LEAF = 128
+LEAF = 64
 UNIT_BYTES = 16 << 20
 BLOCK = 256
 FIRST = 3
