@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_open: list[Intermediates] = []
+class _Open(threading.local):
+    """The ``with`` blocks that are open in this thread."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Intermediates] = []
+
+
+_open = _Open()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    for i in _open:
+    for i in _open.blocks:
         i.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
@@ -63,11 +71,11 @@ class Intermediates:
         self.spark, self.paths = spark, []
 
     def __enter__(self) -> Intermediates:
-        _open.append(self)
+        _open.blocks.append(self)
         return self
 
     def __exit__(self, *_: object) -> None:
-        _open.remove(self)
+        _open.blocks.remove(self)
 
     def keep_only(self, *tables: DataFrame) -> None:
         kept = {t.written_to for t in tables}
