@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from tintwerk.llm import repeats
+from tintwerk.llm import queries, repeats
 
 
 def brute_force(rows, window):
@@ -110,5 +110,19 @@ def test_long_text(spark):
     assert got[2].n_removed == 1000 and got[3].n_removed == 0
 
 
+def test_planted_passages(spark, tmp_path):
+    """Passages of 55 words in several documents: those of 400 bytes or more go, shorter ones stay; ``n_bytes`` is the input's length."""
+    r = random.Random(4)
+    prose = lambda n, size: " ".join("".join(r.choice("abcdefghijklmnoprstuvwé") for _ in range(size)) for _ in range(n))
+    long, short = [prose(55, 8) for _ in range(4)], [prose(55, 5) for _ in range(4)]
+    rows = [(d, " ".join([prose(r.randrange(5, 200), 6), *([(long, short)[d % 3][d % 4]] if d % 3 < 2 else []), prose(r.randrange(5, 200), 6)])) for d in range(60)]
+    assert all(len(p.encode()) >= 400 for p in long) and all(len(p.encode()) < 390 for p in short)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_run_index(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((tuple(x) for x in got), key=str) == brute_force(rows, 400)
+    assert {x.doc_id for x in got if x.n_removed} == {d for d in range(60) if d % 3 == 0}
+    assert all(x.n_bytes == len(rows[x.doc_id][1].encode()) for x in got)
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
