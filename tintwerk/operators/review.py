@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintwerk import enums
+from tintwerk.functions.tables import met
 
 
 def label_summary(hits: DataFrame, doc_id: int) -> DataFrame:
@@ -33,12 +34,12 @@ def document_list(documents: DataFrame, hits: DataFrame) -> DataFrame:
     """Each document's pages, hits that are on, and state: exported, analysed or new."""
     on = hits.where("enabled").groupBy("doc_id").agg(F.count("*").alias("on"))
     state = F.when(F.col("exported_to").isNotNull(), "exported").when(F.col("analyzed"), "analyzed").otherwise("new")
-    return documents.join(on, "doc_id", "left").select("doc_id", "pages", F.coalesce("on", F.lit(0)).alias("on"), state.alias("state"))
+    return met(documents, on, "doc_id", "left").select("doc_id", "pages", F.coalesce("on", F.lit(0)).alias("on"), state.alias("state"))
 
 
 def page_info(words: DataFrame, hits: DataFrame) -> DataFrame:
     counts = words.groupBy("doc_id", "page_no").agg(F.count("*").alias("words"))
-    return counts.join(hits.where("enabled").groupBy("doc_id", "page_no").agg(F.count("*").alias("on")), ["doc_id", "page_no"], "left").fillna(0, ["on"])
+    return met(counts, hits.where("enabled").groupBy("doc_id", "page_no").agg(F.count("*").alias("on")), ["doc_id", "page_no"], "left").fillna(0, ["on"])
 
 
 def load_summary(pages: DataFrame) -> DataFrame:

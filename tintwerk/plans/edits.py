@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tintwerk import enums, schemas
 from tintwerk.functions import tokens as tk
+from tintwerk.functions.tables import met
 from tintwerk.operators.groups import assign_groups
 from tintwerk.operators.words import words_in_rect
 from tintwerk.plans.analysis import PAGE, find_phrases, phrase, resolve_pages
@@ -18,9 +19,9 @@ def merge_hits(pages: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """Old and new hits; overlaps are resolved again on the pages that have new ones, the others stay as they are."""
     touched = new.select("case_id", "doc_id", "page_no").distinct()
     before = old.select(*PAGE, F.lit(0).alias("stage"), F.col("seq").alias("nth"), *_FIELDS)
-    both = before.join(touched, ["case_id", "doc_id", "page_no"], "left_semi").select(*PAGE, "stage", "nth", *_FIELDS).unionByName(new.select(*PAGE, F.lit(1).alias("stage"), "nth", *_FIELDS))
-    own = pages.join(touched, ["case_id", "doc_id", "page_no"], "left_semi")
-    rest = old.join(touched, ["case_id", "doc_id", "page_no"], "left_anti").select(*PAGE, "seq", *_FIELDS)
+    both = met(before, touched, ["case_id", "doc_id", "page_no"], "left_semi").select(*PAGE, "stage", "nth", *_FIELDS).unionByName(new.select(*PAGE, F.lit(1).alias("stage"), "nth", *_FIELDS))
+    own = met(pages, touched, ["case_id", "doc_id", "page_no"], "left_semi")
+    rest = met(old, touched, ["case_id", "doc_id", "page_no"], "left_anti").select(*PAGE, "seq", *_FIELDS)
     return assign_groups(resolve_pages(own, both).select(*PAGE, "seq", *_FIELDS).unionByName(rest))
 
 

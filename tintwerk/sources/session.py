@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from tintwerk import enums, schemas
 from tintwerk.functions import tokens as tk
-from tintwerk.functions.tables import kept
+from tintwerk.functions.tables import kept, met
 from tintwerk.functions.page import Page, as_rows, as_segments
 
 FORMAT = 1
@@ -68,7 +68,7 @@ def reanchor(sessions: DataFrame, pages: DataFrame, documents: DataFrame) -> tup
     entries = sessions.select("case_id", F.explode("docs").alias("d")).select("case_id", "d.path", F.posexplode("d.hits").alias("nth", "h"))
     entries = entries.join(documents.select("case_id", "path", "doc_id"), ["case_id", "path"])
     asked = entries.groupBy("case_id", "path", "doc_id", F.col("h.page").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("nth", F.to_json("h").alias("h")))).alias("asked"))
-    rows = asked.join(pages.select("case_id", "doc_id", "doc_seq", "page_no", "words"), ["case_id", "doc_id", "page_no"], "left")
+    rows = met(asked, pages.select("case_id", "doc_id", "doc_seq", "page_no", "words"), ["case_id", "doc_id", "page_no"], "left")
     ddl = f"case_id string, path string, doc_id long, doc_seq int, page_no int, seq int, {schemas.HIT}, ok boolean"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
