@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,6 +31,22 @@ def _whole(x: pa.Array | pa.ChunkedArray) -> pa.Array:
     return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
+SLICE_BYTES = 1 << 20
+
+
+def _in_slices(run: Callable[[pa.Array], pa.Array], kind: str, size: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
+    """``run`` over slices of an Arrow batch of some ``SLICE_BYTES``: places take many times a text's bytes, and a batch's rows have no bound in bytes."""
+
+    def over(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            part = np.cumsum(np.asarray(pc.fill_null(size(b), 0)).astype(np.int64)) // SLICE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(b)] if len(b) else []
+            for a, z in zip(cuts, cuts[1:]):
+                yield run(b.slice(a, z - a))
+
+    return F.arrow_udf(over, kind)
+
+
 def page_words(text: Column, char_width: float = 6.0, line_height: float = 14.0) -> Column:
     """``array<word>`` of plain text with synthetic geometry: a line for each line, fixed character widths, from (50, 50).
 
@@ -54,7 +72,7 @@ def page_words(text: Column, char_width: float = 6.0, line_height: float = 14.0)
         counts = np.bincount(np.repeat(np.arange(len(per_page)), per_page)[line], minlength=len(per_page))
         return _list_of(counts, {"text": word, "line": number.astype(np.int32), "x0": x0, "y0": y0, "x1": x0 + char_width * size, "y1": y0 + 10.0})
 
-    return F.arrow_udf(run, f"array<{WORD}>")(text)
+    return _in_slices(run, f"array<{WORD}>", pc.binary_length)(text)
 
 
 def page_text(words: Column) -> Column:
@@ -76,7 +94,7 @@ def word_spans(words: Column) -> Column:
         s = at - np.repeat(np.append(at, 0)[np.minimum(ends - counts, len(at))], counts)
         return _list_of(counts, {"word": _counted(counts).astype(np.int32), "s": s.astype(np.int32), "e": (s + size).astype(np.int32)}, pc.is_null(words) if words.null_count else None)
 
-    return F.arrow_udf(run, "array<struct<word:int,s:int,e:int>>")(words)
+    return _in_slices(run, "array<struct<word:int,s:int,e:int>>", lambda w: pc.multiply(pc.list_value_length(w), 8))(words)
 
 
 def segments_at(spans: Column, s: Column, e: Column) -> Column:
