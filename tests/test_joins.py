@@ -2,7 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
+from tintwerk import schemas
+from tintwerk.plans import analysis
 
 
 def broadcasts(spark, tmp_path, name):
@@ -14,3 +18,9 @@ def broadcasts(spark, tmp_path, name):
 @pytest.mark.parametrize("name, most", [("q_rects", 0)])
 def test_no_table_of_unknown_size_is_broadcast(spark, tmp_path, name, most):
     assert broadcasts(spark, tmp_path, name) == most
+
+
+def test_cases_are_dealt_over_all_cores(spark):
+    rows = [(f"c{i}", 2, "Person A", "person", ["Erika Beispiel"], ["erika", "beispiel"], False) for i in range(40)]
+    persons = spark.createDataFrame(rows, schemas.PERSONS)
+    assert analysis.shared_labels(persons.unionByName(persons.withColumn("label", F.lit("Person B")))).rdd.getNumPartitions() > 1  # adaptive execution made it one
