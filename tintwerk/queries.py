@@ -15,6 +15,7 @@ from tintwerk import enums, schemas
 from tintwerk.functions import text as tx
 from tintwerk.functions import tokens as tk
 from tintwerk.functions.spans import located
+from tintwerk.functions.tables import met
 from tintwerk.operators import export, findings, groups, names, patterns, recognition, review, words
 from tintwerk.plans import analysis
 from tintwerk.sources import views
@@ -508,7 +509,8 @@ def q_neutral_names(spark, sf_dir):
     letters = _letters(spark, sf_dir)
     parts = export.name_parts(letters.select("doc_id", F.lit(0).alias("seq"), F.col("person").alias("text"), F.lit("Mandant").alias("label"), F.lit("name").alias("category"), F.lit(True).alias("enabled")))
     name = F.split("person", " ")
-    stems = letters.select("doc_id", F.concat(F.lower(name[1]), F.lit("_"), name[0], F.lit("_Klage 2024"), F.col("doc_id").cast("string")).alias("stem")).join(parts, "doc_id")
+    stems = letters.select("doc_id", F.concat(F.lower(name[1]), F.lit("_"), name[0], F.lit("_Klage 2024"), F.col("doc_id").cast("string")).alias("stem"))
+    stems = met(stems, parts, "doc_id")
     return stems.select("doc_id", export.neutral_stem(F.col("stem"), F.transform("parts", lambda p: F.struct(p["part"].alias("part"), p["label"].alias("label")))).alias("stem")).select("*", export.output_path(F.lit("/out"), F.col("stem")).alias("target"))
 
 
@@ -637,7 +639,8 @@ def q_overlap(spark, sf_dir):
         *analysis.PAGE, F.lit(stage).alias("stage"), F.col("word_no").alias("nth"), F.array(F.struct(F.col("word_no").alias("word"), c0.cast("int").alias("c0"), c1.cast("int").alias("c1"))).alias("segments"),
         (F.substring("text", 1, 4) if label == "A" else F.col("text")).alias("text"), F.lit(label).alias("label"), F.lit("x").alias("category"), F.lit(priority).alias("priority"), F.array().cast(f"array<{schemas.RECT}>").alias("rects"), F.lit(True).alias("enabled"), F.lit("").alias("question"))
     hits = hit(0, F.lit(2), F.lit(None), "B", 20).unionByName(hit(1, F.lit(None), F.lit(4), "A", 10))
-    out = analysis.resolve_pages(pages, hits).select("doc_id", "label", "text", F.explode("segments").alias("g")).join(own.select("doc_id", "word_no", F.length("text").alias("n")), ["doc_id"]).where("g.word = word_no")
+    out = analysis.resolve_pages(pages, hits).select("doc_id", "label", "text", F.explode("segments").alias("g")).withColumn("word_no", F.col("g.word"))
+    out = met(out, own.select("doc_id", "word_no", F.length("text").alias("n")), ["doc_id", "word_no"])
     return out.select("doc_id", "g.word", F.coalesce("g.c0", F.lit(0)).alias("c0"), F.coalesce("g.c1", "n").alias("c1"), "label", "text")
 
 
